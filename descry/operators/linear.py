@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from descry import FEATURES, ID, TARGET
 from descry.functions.columns import balanced_sum, dot, quoted
-from descry.operators.moments import STATE, Matrix, add_up, dense, sums_batch, values_of
+from descry.operators.blocks import STATE, Matrix, add_up, dense, sums_batch, values_of
 from descry.session import max_tasks
 
 FOLDS = "folds"
@@ -180,11 +180,12 @@ def fit_gram(m: Matrix, alpha: float = 0.0, l1: float = 0.0) -> LinearModel:
 
 
 def fold_solutions(fold_grams: dict[tuple[int, int], np.ndarray], cols: Sequence[int],
-                   alpha: float = 0.0) -> dict[tuple[int, int], tuple[np.ndarray, float]]:
+                   alpha: float = 0.0, l1: float = 0.0
+                   ) -> dict[tuple[int, int], tuple[np.ndarray, float]]:
     """Per held-out fold: the solution on the rest, as total minus the fold."""
     repeats = {r for r, _ in fold_grams}
     total = {r: sum(g for (q, _), g in fold_grams.items() if q == r) for r in repeats}
-    return {k: solve_gram(total[k[0]] - g, cols, alpha) for k, g in fold_grams.items()}
+    return {k: solve_gram(total[k[0]] - g, cols, alpha, l1) for k, g in fold_grams.items()}
 
 
 def fold_error(g: np.ndarray, cols: Sequence[int], w: np.ndarray, b: float) -> float:

@@ -11,48 +11,96 @@ from pyspark.sql import functions as F
 
 from descry import TARGET
 from descry.functions.columns import quoted
+from descry.operators.blocks import BLOCK, add_up, dense, matrix, sums_batch
 from descry.operators.cleaning import train_rows
-
-CHUNK = 150  # columns per aggregate: keeps the generated code within method limits
-
-STATS = ("n", "n_null", "low", "high", "mean", "sd", "var_pop")
-
-
-def _stat_exprs(c: str, tag: str) -> list[Column]:
-    x = quoted(c).cast("double")
-    return [
-        F.count(x).alias(f"{tag}_n"),
-        F.count_if(x.isNull()).alias(f"{tag}_n_null"),
-        F.min(x).alias(f"{tag}_low"),
-        F.max(x).alias(f"{tag}_high"),
-        F.avg(x).alias(f"{tag}_mean"),
-        F.stddev_samp(x).alias(f"{tag}_sd"),
-        F.var_pop(x).alias(f"{tag}_var_pop"),
-    ]
+from descry.session import max_tasks
+
+WIDE = 48  # columns beyond which one aggregate per column costs more than a batch pass
+
+
+def _inline_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    exprs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(names):
+        x = quoted(c).cast("double")
+        exprs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"low{i}"), F.max(x).alias(f"high{i}"),
+                  F.avg(x).alias(f"mean{i}"), F.var_pop(x).alias(f"var{i}")]
+    rows = [F.struct(
+        F.lit(i).alias("idx"), F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"),
+        (F.col("rows") - F.col(f"n{i}")).alias("n_null"), F.col(f"low{i}").alias("low"),
+        F.col(f"high{i}").alias("high"), F.col(f"mean{i}").alias("mean"),
+        F.col(f"var{i}").alias("var_pop")) for i, c in enumerate(names)]
+    return df.agg(*exprs).select(F.inline(F.array(*rows)))
+
+
+def _merge(block: np.ndarray) -> np.ndarray:
+    """Merges stacked (n, rows, low, high, mean, squares about the mean) of many columns."""
+    part = block.reshape(len(block), 6, -1)
+    n, rows = part[:, 0].sum(axis=0), part[:, 1].sum(axis=0)
+    safe = np.where(n > 0, n, 1.0)
+    mean = (part[:, 0] * part[:, 4]).sum(axis=0) / safe
+    squares = (part[:, 5] + part[:, 0] * (part[:, 4] - mean) ** 2).sum(axis=0)
+    low, high = part[:, 2].min(axis=0), part[:, 3].max(axis=0)
+    return np.concatenate([n, rows, low, high, mean, squares])
+
+
+def _batch_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The same figures for many columns: one numpy pass over batches, merged per block."""
+    width = len(names)
+    cuts = [slice(s, min(s + BLOCK, width)) for s in range(0, width, BLOCK)]
+    tasks = max_tasks(df.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = dense(batch, width)
+            there = ~np.isnan(x)
+            n = there.sum(axis=0).astype(float)
+            mean = np.where(there, x, 0.0).sum(axis=0) / np.where(n > 0, n, 1.0)
+            squares = (np.where(there, x - mean, 0.0) ** 2).sum(axis=0)
+            low = np.where(there, x, np.inf).min(axis=0)
+            high = np.where(there, x, -np.inf).max(axis=0)
+            part = np.stack([n, np.full(width, float(len(x))), low, high, mean, squares])
+            both = part[None] if total is None else np.stack([total, part])
+            total = _merge(both.reshape(len(both), -1)).reshape(6, width)
+        if total is not None:
+            yield sums_batch({"block": list(range(len(cuts)))}, [total[:, c] for c in cuts])
+
+    rows = matrix(df, names, keep=()).df.coalesce(tasks)
+    parts = rows.mapInArrow(run, "block int, sums array<double>")
+    merged = add_up(parts, ["block"], tasks, combine=_merge)
+    labels = np.array(list(names), dtype=object)
+
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                cut = cuts[batch.column(0)[k].as_py()]
+                n, total, low, high, mean, squares = np.array(
+                    batch.column(1)[k].as_py()).reshape(6, -1)
+                empty = n == 0
+                squares = np.where(low == high, 0.0, squares)  # no rounding for constants
+                values = {"low": low, "high": high, "mean": mean,
+                          "var_pop": squares / np.where(empty, 1.0, n)}
+                yield pa.RecordBatch.from_pydict({
+                    "idx": pa.array(np.arange(cut.start, cut.stop, dtype=np.int32)),
+                    "feature": pa.array(labels[cut], pa.string()),
+                    "n": pa.array(n.astype(np.int64)), "n_null": pa.array((total - n).astype(np.int64)),
+                    **{s: pa.array(v, mask=empty) for s, v in values.items()}})
+
+    return merged.mapInArrow(finish, "idx int, feature string, n long, n_null long, low double, "
+                                     "high double, mean double, var_pop double")
 
 
 def column_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per column: counts, range, mean, sample sd, population variance.
+    """One row per column: counts, range, mean, population variance, sample sd.
 
-    A global aggregate, so each task sends one row; no value leaves its partition.
+    A global aggregate: each task sends one row (or one per block of columns); no value
+    leaves its partition.
     """
-    parts = []
-    for start in range(0, len(names), CHUNK):
-        chunk = names[start : start + CHUNK]
-        wide = df.agg(*[e for i, c in enumerate(chunk) for e in _stat_exprs(c, f"c{i}")])
-        rows = F.array(*[
-            F.struct(
-                F.lit(start + i).alias("idx"),
-                F.lit(c).alias("feature"),
-                *[F.col(f"c{i}_{s}").alias(s) for s in STATS],
-            )
-            for i, c in enumerate(chunk)
-        ])
-        parts.append(wide.select(F.inline(rows)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    stats = _inline_stats(df, names) if len(names) <= WIDE else _batch_stats(df, names)
+    sd = F.sqrt(F.try_divide(F.col("var_pop") * F.col("n"), F.col("n") - 1))
+    return stats.withColumn("sd", sd)
 
 
 def column_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:

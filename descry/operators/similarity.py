@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from descry import FEATURES, ID, TARGET
 from descry.functions.columns import dot, norm
-from descry.operators.moments import Matrix, add_up, dense
+from descry.operators.blocks import Matrix, add_up, dense
 from descry.session import cut_lineage, max_tasks
 
 ROWS_PER_BLOCK = 2048

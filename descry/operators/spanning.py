@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from descry import FEATURES, ID, TARGET
-from descry.operators.moments import Matrix
+from descry.operators.blocks import Matrix
 from descry.operators.similarity import _column, _features, block_grid, measure_matrix
 from descry.session import cut_lineage
 

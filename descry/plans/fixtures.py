@@ -157,10 +157,20 @@ run_preds AS (
         FROM lineitem GROUP BY l_linenumber, l_partkey) JOIN runs USING (run_id))"""
 
 
+def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, r2): squared correlation of a run's predictions with the entities' mean prices."""
+    actual = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(
+        _cents("l_extendedprice").alias("actual"))
+    joined = run_predictions(spark, sf_dir).join(actual, "id")
+    return joined.groupBy("run_id").agg(F.pow(F.corr("prediction", "actual"), 2).alias("r2"))
+
+
 def run_coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long coefficient log over all lines: a run per ship mode of line number, a feature per
-    part type; the coefficient is the rounded mean discount above five percent, and a feature
-    whose mean stays below that was not selected by the run."""
+    """Long coefficient log over all lines: a run per line number, a feature per part brand.
+
+    The coefficient is the mean discount less five percent; a run did not select a feature
+    whose coefficient is below -0.0005.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_partkey", "l_discount")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     coef = _cents("l_discount") - 0.05

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def max_tasks(spark: SparkSession) -> int:
     """Upper bound on the tasks of a pass whose every task emits a block of partial sums."""
     return 3 * spark.sparkContext.defaultParallelism
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_descry_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isfile(root):  # already imported from a shipped archive
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="descry-ship-"), "descry")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "descry"))
+    sc._descry_shipped = True
