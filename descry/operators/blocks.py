@@ -78,3 +78,23 @@ def add_up(partials: DataFrame, keys: Sequence[str], n_partials: int, fan_in: in
         partials = partials.withColumn("lane", lane)
         partials = partials.groupBy(*keys, "lane").applyInArrow(add, schema)
     return partials.groupBy(*keys).applyInArrow(add, schema)
+
+
+DIRECT = 32 << 20  # bytes of partials the driver may add up itself
+
+
+def gather_sums(partials: DataFrame, keys: Sequence[str], n_partials: int, size: int
+                ) -> dict[tuple[int, ...], np.ndarray]:
+    """Sums per key on the driver, for results of column size.
+
+    ``size`` is the number of doubles one task emits. A few small partials are added up
+    right here; more are added up by the cluster first.
+    """
+    if n_partials * size * 8 > DIRECT:
+        partials = add_up(partials, keys, n_partials)
+    out: dict[tuple[int, ...], np.ndarray] = {}
+    for row in partials.collect():
+        key = tuple(row[k] for k in keys)
+        value = np.array(row["sums"])
+        out[key] = out[key] + value if key in out else value
+    return out

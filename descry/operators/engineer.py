@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from descry.functions.columns import TRANSFORMS, open_gates, quoted
 from descry.operators.cleaning import float_columns, integer_columns, train_rows
-from descry.operators.profile import distinct_beyond
+from descry.operators.profile import column_stats, distinct_beyond
 
 MAX_LEVELS = 1000
 
@@ -54,10 +54,8 @@ def one_hot_integers(df: DataFrame, names: Sequence[str] | None = None,
 def column_ranges(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
     if not names:
         return {}
-    row = df.agg(*[e for i, c in enumerate(names) for e in (
-        F.min(quoted(c).cast("double")).alias(f"a{i}"),
-        F.max(quoted(c).cast("double")).alias(f"b{i}"))]).first()
-    return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(names)}
+    return {r["feature"]: (r["low"], r["high"])
+            for r in column_stats(df, names).select("feature", "low", "high").collect()}
 
 
 def nonlinear_plan(df: DataFrame, names: Sequence[str] | None = None, scope: str = "all"

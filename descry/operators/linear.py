@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from descry import FEATURES, ID, TARGET
 from descry.functions.columns import balanced_sum, dot, quoted
-from descry.operators.blocks import STATE, Matrix, add_up, dense, sums_batch, values_of
+from descry.operators.blocks import (STATE, Matrix, add_up, dense, gather_sums, sums_batch,
+                                     values_of)
 from descry.session import max_tasks
 
 FOLDS = "folds"
@@ -77,9 +78,9 @@ def _fold_matrix(batch: pa.RecordBatch) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
 
 
-def grams(m: Matrix, repeats: int = 0, n_splits: int = 0) -> DataFrame:
-    """(repeat, fold, sums): moments of (1, features, y) flattened, per fold; without folds
-    one row (0, 0). Passes are split by repeat when a task could not hold all sums."""
+def _gram_partials(m: Matrix, repeats: int, n_splits: int) -> tuple[DataFrame, int, int]:
+    """Per task and fold the moments of (1, features, y) flattened; the number of tasks, and
+    of doubles each may emit. Folds are split over passes when a task could not hold all."""
     width = len(m.names)
     size = (width + 2) ** 2
     if size * 8 > STATE:
@@ -113,15 +114,24 @@ def grams(m: Matrix, repeats: int = 0, n_splits: int = 0) -> DataFrame:
         part = rows.mapInArrow(one_pass(jobs[start : start + per_pass]),
                                "repeat int, fold int, sums array<double>")
         out = part if out is None else out.unionByName(part)
-    return add_up(out, ["repeat", "fold"], tasks)
+    return out, tasks, size * len(jobs)
+
+
+def grams(m: Matrix, repeats: int = 0, n_splits: int = 0) -> DataFrame:
+    """(repeat, fold, sums): moments per fold; without folds one row (0, 0)."""
+    parts, tasks, _ = _gram_partials(m, repeats, n_splits)
+    return add_up(parts, ["repeat", "fold"], tasks)
 
 
-def collect_gram(m: Matrix) -> np.ndarray:
+def collect_grams(m: Matrix, repeats: int = 0, n_splits: int = 0
+                  ) -> dict[tuple[int, int], np.ndarray]:
+    """The same as square matrices on the driver."""
+    parts, tasks, size = _gram_partials(m, repeats, n_splits)
     width = len(m.names) + 2
-    row = grams(m).first()
-    if row is None:
+    found = gather_sums(parts, ["repeat", "fold"], tasks, size)
+    if not found:
         raise ValueError("no rows to fit")
-    return np.array(row["sums"]).reshape(width, width)
+    return {k: v.reshape(width, width) for k, v in found.items()}
 
 
 def solve_gram(g: np.ndarray, cols: Sequence[int], alpha: float = 0.0, l1: float = 0.0
@@ -175,7 +185,7 @@ def lasso_on_gram(a: np.ndarray, b: np.ndarray, penalty: np.ndarray, start=None,
 
 def fit_gram(m: Matrix, alpha: float = 0.0, l1: float = 0.0) -> LinearModel:
     """Least squares (defaults), ridge (``alpha``) or lasso (``l1``) in one pass."""
-    w, b = solve_gram(collect_gram(train_matrix(m)), range(len(m.names)), alpha, l1)
+    w, b = solve_gram(collect_grams(train_matrix(m))[0, 0], range(len(m.names)), alpha, l1)
     return LinearModel(m.names, tuple(map(float, w)), b)
 
 
@@ -200,8 +210,7 @@ def ridge_grid(m: Matrix, repeats: int, n_splits: int,
                alphas: Sequence[float] = (1.0, 2.0, 5.0, 10.0, 200.0)) -> DataFrame:
     """(alpha, rmse, r2): means over folds for each ridge penalty, all from one pass."""
     width = len(m.names)
-    found = {(r["repeat"], r["fold"]): np.array(r["sums"]).reshape(width + 2, width + 2)
-             for r in grams(train_matrix(m), repeats, n_splits).collect()}
+    found = collect_grams(train_matrix(m), repeats, n_splits)
     rows = []
     for alpha in alphas:
         rmse, r2 = [], []
@@ -294,12 +303,11 @@ def _weighted_pass(rows: DataFrame, width: int, fits: Sequence[Fit], weights: li
     out = {}
     tasks = max_tasks(rows.sparkSession)
     for chunk in chunks:
-        summed = add_up(rows.mapInArrow(one_pass(chunk), "fit int, sums array<double>"),
-                        ["fit"], tasks)
-        for row in summed.collect():
-            k = sizes[row["fit"]]
-            v = np.array(row["sums"])
-            out[row["fit"]] = {
+        parts = rows.mapInArrow(one_pass(chunk), "fit int, sums array<double>")
+        size = sum(sizes[i] ** 2 + 2 * sizes[i] + 6 for i in chunk)
+        for (fit,), v in gather_sums(parts, ["fit"], tasks, size).items():
+            k = sizes[fit]
+            out[fit] = {
                 "a": v[: k * k].reshape(k, k), "b": v[k * k : k * k + k],
                 "dual": v[k * k + k : k * k + 2 * k],
                 **dict(zip(("loss", "smooth", "abs", "dual_y", "dual_abs", "n"), v[k * k + 2 * k :],

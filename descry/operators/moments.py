@@ -66,15 +66,17 @@ def _pair_sums(m: Matrix, stats: Callable[[np.ndarray, np.ndarray, np.ndarray |
     return add_up(out, ["bi", "bj"], tasks, fan_in)
 
 
-def location_scale(df: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, means and population sds; a zero sd becomes 1."""
+def location_scale(df: DataFrame, names: Sequence[str]
+                   ) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Row count, means, population sds (a zero becomes 1), and which columns vary."""
     rows = {r["feature"]: r for r in column_stats(df, names).collect()}
     n = max(r["n"] for r in rows.values())
     if any(r["n"] != n for r in rows.values()):
         raise ValueError("columns with nulls: screen or fill them first")
     mean = np.array([rows[c]["mean"] or 0.0 for c in names])
     sd = np.sqrt(np.array([rows[c]["var_pop"] or 0.0 for c in names]))
-    return n, mean, np.where(sd > 0, sd, 1.0)
+    varies = np.array([n > 0 and rows[c]["low"] < rows[c]["high"] for c in names])
+    return n, mean, np.where(sd > 0, sd, 1.0), varies
 
 
 def _emit_pairs(m: Matrix, sums: DataFrame, schema: str,
@@ -111,9 +113,8 @@ def _emit_pairs(m: Matrix, sums: DataFrame, schema: str,
 
 def correlation_matrix(df: DataFrame, names: Sequence[str], fan_in: int = FAN_IN) -> DataFrame:
     """(feature_a, feature_b, r) for idx_a < idx_b; null when a column is constant."""
-    n, mean, sd = location_scale(df, names)
+    n, mean, sd, varies = location_scale(df, names)
     m = matrix(df, names)
-    varies = _varies(df, names)
     sums = _pair_sums(m, lambda a, b, y: [a.T @ b], 1, mean, sd, False, fan_in)
 
     def finish(s, ra, rb):
@@ -123,12 +124,6 @@ def correlation_matrix(df: DataFrame, names: Sequence[str], fan_in: int = FAN_IN
     return _emit_pairs(m, sums, "r double", finish, 1)
 
 
-def _varies(df: DataFrame, names: Sequence[str]) -> np.ndarray:
-    row = df.agg(*[(F.min(quoted(c)) < F.max(quoted(c))).alias(f"v{i}")
-                   for i, c in enumerate(names)]).first()
-    return np.array([bool(v) for v in row])
-
-
 def correlation_edges(df: DataFrame, names: Sequence[str], threshold: float) -> DataFrame:
     """Pairs with |r| above the threshold (strictly)."""
     return correlation_matrix(df, names).filter(F.abs("r") > threshold)
@@ -184,7 +179,7 @@ def interaction_screen(df: DataFrame, names: Sequence[str], alpha: float | None
     if mode not in ("univariate", "partial") or screen_on not in ("raw", "scaled"):
         raise ValueError("mode: univariate or partial; screen_on: raw or scaled")
     train = df.filter(F.col(TARGET).isNotNull())
-    n, mean, sd = location_scale(train, [*names, TARGET])
+    n, mean, sd, varies = location_scale(train, [*names, TARGET])
     y_mean, y_sd = mean[-1], sd[-1]
     mean, sd = mean[:-1], sd[:-1]
     m = matrix(train, names)
@@ -197,7 +192,6 @@ def interaction_screen(df: DataFrame, names: Sequence[str], alpha: float | None
                 np.repeat((b.T @ t)[None, :], a.shape[1], 0)]
 
     sums = _pair_sums(m, stats, 7, mean, sd, True, fan_in)
-    varies = _varies(train, names)
 
     def finish(s, ra, rb):
         ab, aabb, aby, aab, abb, ay, by = s / n

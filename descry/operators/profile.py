@@ -15,7 +15,7 @@ from descry.operators.blocks import BLOCK, add_up, dense, matrix, sums_batch
 from descry.operators.cleaning import train_rows
 from descry.session import max_tasks
 
-WIDE = 48  # columns beyond which one aggregate per column costs more than a batch pass
+WIDE = 8  # columns beyond which generated code per column costs more than a batch pass
 
 
 def _inline_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:

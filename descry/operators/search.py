@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from descry import FEATURES, ID, TARGET
 from descry.operators.linear import (FOLDS, Fit, Loss, _fold_matrix, fit_reweighted, fold_error,
                                      grams, linear_svr, solve_gram, train_matrix)
-from descry.operators.blocks import Matrix, add_up, dense, sums_batch, values_of
+from descry.operators.blocks import Matrix, dense, gather_sums, sums_batch, values_of
 from descry.operators.trees import subset
 from descry.session import cut_lineage, max_tasks
 
@@ -169,7 +169,7 @@ class SvrScorer:
         tasks = max_tasks(self.m.df.sparkSession)
         parts = self.m.df.select(FEATURES, TARGET, FOLDS).coalesce(tasks).mapInArrow(
             run, "key int, sums array<double>")
-        sse, n = np.array(add_up(parts, ["key"], tasks).first()["sums"]).reshape(2, -1)
+        sse, n = gather_sums(parts, ["key"], tasks, 2 * len(fits))[0,].reshape(2, -1)
         rmse = np.sqrt(sse / n)
         rows = [(o, float(v)) for o, v in zip(owner, rmse, strict=True)]
         return self.m.df.sparkSession.createDataFrame(rows, "feature string, rmse double").groupBy(
@@ -207,8 +207,9 @@ def mixed_stepwise(scorer, groups: list[list[str]], iterations: int, start: set[
     chosen = set(start)
 
     def best(sets: dict[str, Sequence[str]]) -> tuple[str, float]:
-        row = best_candidate(scorer.scores(sets)).first()
-        return row["feature"], row["score"]
+        # one row per candidate of the batch; the same choice as ``best_candidate``
+        score, feature = min((r["score"], r["feature"]) for r in scorer.scores(sets).collect())
+        return feature, score
 
     score = best({"": sorted(chosen)})[1]
     history: list[tuple[int, str, str | None, float]] = [(-1, "start", None, score)]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from descry import FEATURES, ID, TARGET
 from descry.functions.columns import dot, norm
-from descry.operators.blocks import Matrix, add_up, dense
+from descry.operators.blocks import Matrix, dense, gather_sums
 from descry.session import cut_lineage, max_tasks
 
 ROWS_PER_BLOCK = 2048
@@ -282,7 +282,7 @@ def closeness(m: Matrix, measure: str = "cosine", rows_per_block: int = ROWS_PER
             "key": pa.array([0], pa.int32()), "sums": pa.array([total], pa.list_(pa.float64()))})
 
     parts = m.df.select(FEATURES).coalesce(tasks).mapInArrow(add, "key int, sums array<double>")
-    sums = np.array(add_up(parts, ["key"], tasks).first()["sums"])
+    sums = gather_sums(parts, ["key"], tasks, width + 1)[0,]
     near = F.try_divide(dot(F.col(FEATURES), sums[1:]), norm(F.col(FEATURES)))
     return m.df.select(ID, F.try_divide(F.lit(1.0), F.lit(float(sums[0])) - near).alias("closeness"))
 

@@ -479,8 +479,9 @@ auc AS (
 
 
 @query(f"""WITH {fx.LABEL_SQL}, {AUC_SQL.format(s="predicted")},
-ll AS (SELECT repeat, fold, -avg(CASE WHEN actual = predicted THEN ln(1 - 1e-15::DOUBLE)
-              ELSE ln(1e-15::DOUBLE) END) AS log_loss FROM labelled GROUP BY repeat, fold)
+clipped AS (SELECT *, greatest(1e-15::DOUBLE, least(1 - 1e-15::DOUBLE, predicted::DOUBLE)) AS p FROM labelled),
+ll AS (SELECT repeat, fold, -avg(CASE WHEN actual = 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss
+       FROM clipped GROUP BY repeat, fold)
 SELECT repeat, fold, round(log_loss, 6) AS log_loss, round(roc_auc, 6) AS roc_auc
 FROM ll JOIN auc USING (repeat, fold)""")
 def label_metrics(spark, sf):
@@ -595,18 +596,21 @@ spans AS (
 
 
 @query(f"""WITH {INTERVAL_SQL}
-SELECT id, n, round(mean - half, 4) AS low, round(mean, 4) AS mean, round(mean + half, 4) AS high,
+SELECT id, n, round(mean - half, 4) AS low, round(mean, 5) AS mean, round(mean + half, 4) AS high,
        round(sd, 4) AS sd FROM spans""")
 def run_interval(spark, sf):
-    return rounded(run_ops.prediction_intervals(fx.run_predictions(spark, sf)), 4)
+    # a mean of two-decimal prices may end in a half at four digits
+    out = run_ops.prediction_intervals(fx.run_predictions(spark, sf))
+    return rounded(rounded(out, 4, ["low", "high", "sd"]), 5, ["mean"])
 
 
 @query(f"""WITH {INTERVAL_SQL}
-SELECT id, round(mean, 4) AS mean, round(2 * half, 4) AS width FROM spans
+SELECT id, round(mean, 5) AS mean, round(2 * half, 4) AS width FROM spans
 ORDER BY abs(mean), 2 * half, id LIMIT 10""")
 def run_rank(spark, sf):
     spans = run_ops.prediction_intervals(fx.run_predictions(spark, sf))
-    return rounded(run_ops.rank_entities(spans).select(ID, "mean", "width").limit(10), 4)
+    top = run_ops.rank_entities(spans).select(ID, "mean", "width").limit(10)
+    return rounded(rounded(top, 4, ["width"]), 5, ["mean"])
 
 
 @query(f"""WITH {fx.COEFS_SQL}
