@@ -31,6 +31,11 @@ def _cents(c: str):
     return F.sum(F.round(F.col(c) * 100)) / (F.count(F.lit(1)) * F.lit(100.0))
 
 
+def _unit_price():
+    """Exact price per piece over a group of lines."""
+    return F.sum(F.round(F.col("l_extendedprice") * 100)) / (F.sum("l_quantity") * F.lit(100.0))
+
+
 def part_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
         (F.sum("l_quantity") / F.count(F.lit(1))).alias("avg_qty"),
@@ -131,8 +136,8 @@ preds AS (
 def run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long run log over all lines: a run per line number, an entity per part.
 
-    A run predicts an entity by the mean price of its lines; its size is the number of
-    distinct discounts used and its score the spread of its prices (in thousands).
+    A run predicts an entity by the unit price over its lines; its size is the number of
+    distinct discounts it saw and its score comes from its highest price.
     """
     lines = table(spark, sf_dir, "lineitem")
     runs = lines.groupBy(F.col("l_linenumber").alias("run_id")).agg(
@@ -140,8 +145,7 @@ def run_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.max("l_extendedprice") / 10000 - F.col("run_id") * 0.25, 2).alias("rmse"),
     )
     preds = lines.groupBy(F.col("l_linenumber").alias("run_id"), F.col("l_partkey").alias("id")).agg(
-        _cents("l_extendedprice").alias("prediction"))
-    # one row per line number: the run table is as small as the run count
+        _unit_price().alias("prediction"))
     return preds.join(runs, "run_id")
 
 
@@ -153,14 +157,14 @@ runs AS (
 run_preds AS (
   SELECT run_id, id, prediction, n_feats, rmse
   FROM (SELECT l_linenumber AS run_id, l_partkey AS id,
-               sum(round(l_extendedprice * 100)) / (count(*) * 100.0::DOUBLE) AS prediction
+               sum(round(l_extendedprice * 100)) / (sum(l_quantity) * 100.0::DOUBLE) AS prediction
         FROM lineitem GROUP BY l_linenumber, l_partkey) JOIN runs USING (run_id))"""
 
 
 def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_id, r2): squared correlation of a run's predictions with the entities' mean prices."""
+    """(run_id, r2): squared correlation of a run's predictions with the entities' unit prices."""
     actual = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(
-        _cents("l_extendedprice").alias("actual"))
+        _unit_price().alias("actual"))
     joined = run_predictions(spark, sf_dir).join(actual, "id")
     return joined.groupBy("run_id").agg(F.pow(F.corr("prediction", "actual"), 2).alias("r2"))
 

@@ -26,7 +26,7 @@ ORACLES: dict[str, str] = {}
 
 MIN_COSINE = 0.3
 MIN_RATIO = 0.9999
-MIN_R2 = 0.13
+MIN_R2 = 0.03
 LISTED = ["avg_qty", "avg_qty*avg_disc", "avg_disc*max_disc"]
 PAIRS = [("avg_qty", "avg_disc"), ("avg_price", "avg_tax")]
 FLOATS = ["p_retailprice", "avg_qty", "avg_price", "avg_disc", "avg_tax", "max_disc"]
@@ -596,21 +596,18 @@ spans AS (
 
 
 @query(f"""WITH {INTERVAL_SQL}
-SELECT id, n, round(mean - half, 4) AS low, round(mean, 5) AS mean, round(mean + half, 4) AS high,
-       round(sd, 4) AS sd FROM spans""")
+SELECT id, n, round(mean - half, 5) AS low, round(mean, 5) AS mean, round(mean + half, 5) AS high,
+       round(sd, 5) AS sd FROM spans""")
 def run_interval(spark, sf):
-    # a mean of two-decimal prices may end in a half at four digits
-    out = run_ops.prediction_intervals(fx.run_predictions(spark, sf))
-    return rounded(rounded(out, 4, ["low", "high", "sd"]), 5, ["mean"])
+    return rounded(run_ops.prediction_intervals(fx.run_predictions(spark, sf)), 5)
 
 
 @query(f"""WITH {INTERVAL_SQL}
-SELECT id, round(mean, 5) AS mean, round(2 * half, 4) AS width FROM spans
+SELECT id, round(mean, 5) AS mean, round(2 * half, 5) AS width FROM spans
 ORDER BY abs(mean), 2 * half, id LIMIT 10""")
 def run_rank(spark, sf):
     spans = run_ops.prediction_intervals(fx.run_predictions(spark, sf))
-    top = run_ops.rank_entities(spans).select(ID, "mean", "width").limit(10)
-    return rounded(rounded(top, 4, ["width"]), 5, ["mean"])
+    return rounded(run_ops.rank_entities(spans).select(ID, "mean", "width").limit(10), 5)
 
 
 @query(f"""WITH {fx.COEFS_SQL}
@@ -623,7 +620,7 @@ def run_selected_share(spark, sf):
 
 
 @query(f"""WITH {fx.RUNS_SQL},
-actuals AS (SELECT l_partkey AS id, sum(round(l_extendedprice * 100)) / (count(*) * 100.0::DOUBLE) AS actual
+actuals AS (SELECT l_partkey AS id, sum(round(l_extendedprice * 100)) / (sum(l_quantity) * 100.0::DOUBLE) AS actual
             FROM lineitem GROUP BY l_partkey)
 SELECT run_id, round(r2, 6) AS r2 FROM (
   SELECT run_id, power(corr(prediction, actual), 2) AS r2 FROM run_preds JOIN actuals USING (id) GROUP BY run_id)
