@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Transform suffixes and the strict limits that open them. "min" gates ask
@@ -112,3 +112,12 @@ def dot(features: Column, weights: Sequence[float]) -> Column:
 
 def norm(features: Column) -> Column:
     return F.sqrt(F.aggregate(features, F.lit(0.0), lambda acc, v: acc + v * v))
+
+
+def fill_named(df: DataFrame, value: float | int, names: Sequence[str]) -> DataFrame:
+    """Fills nulls of columns whose names may hold dots."""
+    named = set(names)
+    types = dict(df.dtypes)
+    return df.select(*[
+        F.coalesce(quoted(c), F.lit(value).cast(types[c])).alias(c) if c in named else quoted(c)
+        for c in df.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType, IntegralType
 
 from descry import ID, TARGET
-from descry.functions.columns import finite, numeric, quoted
+from descry.functions.columns import fill_named, finite, numeric, quoted
 
 
 def descriptor_columns(df: DataFrame) -> list[str]:
@@ -55,9 +55,7 @@ def coerce_numeric(df: DataFrame, names: Sequence[str] | None = None) -> DataFra
 def fill_missing(df: DataFrame, value: float = 0.0,
                  names: Sequence[str] | None = None) -> DataFrame:
     """Fills descriptors only, never the target."""
-    names = set(descriptor_columns(df) if names is None else names)
-    return df.select(*[F.coalesce(quoted(c), F.lit(value)).alias(c) if c in names else quoted(c)
-                       for c in df.columns])
+    return fill_named(df, value, descriptor_columns(df) if names is None else names)
 
 
 def drop_infinite(df: DataFrame) -> DataFrame:
@@ -100,7 +98,7 @@ def join_full(left: DataFrame, right: DataFrame, key: str = ID) -> DataFrame:
 def join_left_zero(left: DataFrame, right: DataFrame, key: str = ID) -> DataFrame:
     """Left join; what the right side lacks becomes 0."""
     added = [c for c in right.columns if c != key]
-    return left.join(right, on=key, how="left").na.fill(0, added)
+    return fill_named(left.join(right, on=key, how="left"), 0, added)
 
 
 def keep_listed(catalog: DataFrame, listed: DataFrame, key: str = "feature") -> DataFrame:

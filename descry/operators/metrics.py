@@ -33,7 +33,8 @@ def exact_median(errors: DataFrame, keys: Sequence[str], value: str) -> DataFram
     ).select(*keys, "n",
              F.when(F.col("n") < MEDIAN_ACCURACY, F.col("least")).otherwise(F.col("b")[0]).alias("lo"),
              F.when(F.col("n") < MEDIAN_ACCURACY, F.col("most")).otherwise(F.col("b")[1]).alias("hi"))
-    placed = errors.join(brackets, keys).select(
+    # one row per model and fold: splits are capped, so this side is small by construction
+    placed = errors.join(F.broadcast(brackets), keys).select(
         *keys, "n", value,
         F.when(F.col(value) < F.col("lo"), F.lit(-1)).when(F.col(value) > F.col("hi"), F.lit(1))
         .otherwise(F.lit(0)).alias("side"))

@@ -12,7 +12,7 @@ from descry.session import cut_lineage
 ROWS_PER_TASK = 2_000_000
 CELL = 16
 RANGES = CELL * CELL
-MAX_SPLITS = 8_000_000  # driver and broadcast bound, in doubles
+MAX_SPLITS = 4_000_000  # split points that may be broadcast; beyond, a plain join
 
 
 def _range_of(value: Column, splits: Column) -> Column:
@@ -37,7 +37,6 @@ def running_sums(counts: DataFrame, groups: Sequence[str], value: str, sums: Seq
         return counts.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in sums])
 
     counts = cut_lineage(counts)
-    spark = counts.sparkSession
     n_groups = counts.select(*groups).distinct().count()
     ranges = int(min(RANGES, max(2, MAX_SPLITS // max(1, n_groups)),
                      max(2, -(-upper_bound * 2 // rows_per_task))))
@@ -46,9 +45,9 @@ def running_sums(counts: DataFrame, groups: Sequence[str], value: str, sums: Seq
         F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(10 * RANGES))
         .alias("splits")
     )
-    # Collected once: the ranges must be the same in both passes below.
-    splits = spark.createDataFrame(splits.collect(), splits.schema)
-    ranged = counts.join(F.broadcast(splits), groups).select(
+    splits = cut_lineage(splits)  # the ranges must be the same in both passes below
+    small = F.broadcast if n_groups * ranges <= MAX_SPLITS else (lambda side: side)
+    ranged = counts.join(small(splits), groups).select(
         *counts.columns, _range_of(F.col(value), F.col("splits")).alias("range")
     )
     totals = ranged.groupBy(*groups, "range").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
@@ -62,8 +61,7 @@ def running_sums(counts: DataFrame, groups: Sequence[str], value: str, sums: Seq
     inside = Window.partitionBy(*groups, "range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    # offsets: at most RANGES rows per group, bounded like the splits
-    joined = ranged.join(F.broadcast(offsets), [*groups, "range"])
+    joined = ranged.join(small(offsets), [*groups, "range"])  # as many rows as split points
     return joined.select(
         *counts.columns,
         *[(F.sum(c).over(inside) + F.col(f"o_{c}")).alias(f"cum_{c}") for c in sums],

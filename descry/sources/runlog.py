@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from descry import ID
-from descry.functions.columns import quoted, run_name
+from descry.functions.columns import fill_named, quoted, run_name
 
 
 def append_runs(df: DataFrame, path: str) -> None:
@@ -25,7 +25,7 @@ def wide_runs(runs: DataFrame, key: str, value: str, names: list[str] | None = N
     if names is None:
         names = sorted(r[0] for r in runs.select("run").distinct().collect())
     wide = runs.groupBy(key).pivot("run", names).agg(F.first(value, ignorenulls=True))
-    return wide if fill is None else wide.na.fill(fill, names)
+    return wide if fill is None else fill_named(wide, fill, names)
 
 
 def selected_flags(run_features: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def merge_run(wide: DataFrame, run: DataFrame, key: str, name: str, value: str,
     """Full outer join of one more run column onto a wide table."""
     added = run.select(quoted(key), quoted(value).alias(name))
     merged = wide.join(added, on=key, how="full")
-    return merged if fill is None else merged.na.fill(fill)
+    return merged if fill is None else fill_named(merged, fill, [c for c in merged.columns if c != key])
 
 
 def long_runs(wide: DataFrame, key: str = ID, value: str = "prediction") -> DataFrame:
