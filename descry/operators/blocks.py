@@ -39,6 +39,12 @@ def dense(batch: pa.RecordBatch, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width)
 
 
+def array_at(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    """One array cell of a batch."""
+    cell = batch.column(batch.schema.get_field_index(name))[row]
+    return cell.values.to_numpy(zero_copy_only=False)
+
+
 def values_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 

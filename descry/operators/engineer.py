@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.functions.columns import TRANSFORMS, open_gates, quoted
+from descry.functions.columns import TRANSFORMS, open_gates, product_parents, quoted
 from descry.operators.cleaning import float_columns, integer_columns, train_rows
 from descry.operators.profile import column_stats, distinct_beyond
 
@@ -86,6 +86,31 @@ def parents_of(names: Sequence[str]) -> list[tuple[str, str]]:
     return [tuple(n.split("*")) for n in names if n.count("*") == 1]
 
 
+def listed_pairs(listed: DataFrame) -> list[tuple[str, str]]:
+    """The same from a feature-list table, in name order."""
+    parents = listed.select("feature", product_parents(F.col("feature")).alias("p"))
+    return [(r["p"][0], r["p"][1])
+            for r in parents.filter(F.size("p") == 2).orderBy("feature").collect()]
+
+
+def feature_catalog(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """(idx, feature, kind, parents, op): what each column is, read from its name."""
+    known, rows = set(names), []
+    for i, name in enumerate(names):
+        stem, _, suffix = name.rpartition("_")
+        if name.count("*") == 1:
+            row = ("product", name.split("*"), "*")
+        elif suffix in TRANSFORMS and stem in known:
+            row = ("transform", [stem], suffix)
+        elif stem and suffix.removeprefix("-").isdigit() and stem not in known:
+            row = ("level", [stem], suffix)
+        else:
+            row = ("raw", [], None)
+        rows.append((i, name, *row))
+    return spark.createDataFrame(
+        rows, "idx int, feature string, kind string, parents array<string>, op string")
+
+
 def interaction_from_names(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Recreates the products named in a saved list."""
     return interaction_values(df, parents_of(names))

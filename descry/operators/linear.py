@@ -223,6 +223,13 @@ def ridge_grid(m: Matrix, repeats: int, n_splits: int,
     return m.df.sparkSession.createDataFrame(rows, "alpha double, rmse double, r2 double")
 
 
+def best_ridge(m: Matrix, repeats: int, n_splits: int,
+               alphas: Sequence[float] = (1.0, 2.0, 5.0, 10.0, 200.0)) -> tuple[LinearModel, float]:
+    """The ridge model, fitted on all train rows, whose penalty had the best mean R^2."""
+    top = ridge_grid(m, repeats, n_splits, alphas).orderBy(F.desc("r2"), "alpha").first()
+    return fit_gram(m, top["alpha"]), top["alpha"]
+
+
 def _reweight(r: np.ndarray, y: np.ndarray, loss: Loss, delta: float | None):
     """(weight, weighted target, loss, smoothed loss, dual value) of each row at residual r.
 

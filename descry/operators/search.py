@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from descry import FEATURES, ID, TARGET
 from descry.operators.linear import (FOLDS, Fit, Loss, _fold_matrix, fit_reweighted, fold_error,
                                      grams, linear_svr, solve_gram, train_matrix)
-from descry.operators.blocks import Matrix, dense, gather_sums, sums_batch, values_of
+from descry.operators.blocks import Matrix, array_at, dense, gather_sums, sums_batch, values_of
 from descry.operators.trees import subset
 from descry.session import cut_lineage, max_tasks
 
@@ -95,7 +95,7 @@ class RidgeScorer:
 
         def complement(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for batch in batches:
-                rest = [total - np.array(v) for v in batch.column("sums").to_pylist()]
+                rest = [total - array_at(batch, "sums", i) for i in range(len(batch))]
                 yield batch.append_column("rest", pa.array(rest, pa.list_(pa.float64())))
 
         schema = "repeat int, fold int, sums array<double>, rest array<double>"
@@ -114,8 +114,8 @@ class RidgeScorer:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for batch in batches:
                 for i in range(len(batch)):
-                    g = np.array(batch.column("sums")[i].as_py()).reshape(size, size)
-                    rest = np.array(batch.column("rest")[i].as_py()).reshape(size, size)
+                    g = array_at(batch, "sums", i).reshape(size, size)
+                    rest = array_at(batch, "rest", i).reshape(size, size)
                     mine = todo[batch.column("lane")[i].as_py()::lanes]
                     rmse = []
                     for _, cols in mine:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descry import ID, TARGET
-from descry.functions.columns import GATES, finite, label_below, run_rmse, run_size
+from descry.functions.columns import (GATES, finite, label_below, product_name, run_rmse,
+                                      run_size)
 from descry.operators import cleaning as clean
 from descry.operators import engineer, folds, ks, linear, metrics, moments, profile
 from descry.operators import runs as run_ops
@@ -52,6 +53,12 @@ def rounded(df: DataFrame, digits: int = 6, only: Sequence[str] | None = None) -
                        for c in df.columns])
 
 
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The part table for operators that read it several times: built once, spilled to disk
+    where memory is short."""
+    return fx.part_table(spark, sf).persist()
+
+
 def _kept(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(ID, TARGET, *names)
 
@@ -78,20 +85,20 @@ def column_profile(spark, sf):
 SELECT feature, round(stddev_samp(value), 6) AS sd FROM long GROUP BY feature
 HAVING stddev_samp(value) > 0""")
 def zero_variance_screen(spark, sf):
-    out = profile.zero_variance_screen(fx.part_table(spark, sf), fx.PART_NUMERIC)
+    out = profile.zero_variance_screen(_parts(spark, sf), fx.PART_NUMERIC)
     return rounded(out.select("feature", "sd"))
 
 
 @query(f"""WITH {fx.PART_SQL}, long AS ({LONG_PART})
 SELECT feature FROM long GROUP BY feature HAVING count(DISTINCT value) > 3""")
 def low_cardinality_screen(spark, sf):
-    return profile.low_cardinality_screen(fx.part_table(spark, sf), fx.PART_NUMERIC).select("feature")
+    return profile.low_cardinality_screen(_parts(spark, sf), fx.PART_NUMERIC).select("feature")
 
 
 @query(f"""WITH {fx.PART_SQL}, long AS ({LONG_PART})
 SELECT feature FROM long GROUP BY feature HAVING count(*) = count(value)""")
 def null_column_screen(spark, sf):
-    return profile.null_column_screen(fx.part_table(spark, sf), fx.PART_NUMERIC).select("feature")
+    return profile.null_column_screen(_parts(spark, sf), fx.PART_NUMERIC).select("feature")
 
 
 @query(f"""WITH {fx.PART_SQL}, long AS ({LONG_PART}),
@@ -103,7 +110,7 @@ SELECT 1 AS step, 'zero_variance' AS stage, n0 AS n_before, n1 AS n_after, n0 -
 UNION ALL SELECT 2, 'low_cardinality', n1, n2, n1 - n2 FROM c
 UNION ALL SELECT 3, 'null_column', n2, n3, n2 - n3 FROM c""")
 def screen_report(spark, sf):
-    return profile.screen_report(fx.part_table(spark, sf), fx.PART_NUMERIC)
+    return profile.screen_report(_parts(spark, sf), fx.PART_NUMERIC)
 
 
 @query(f"""WITH {fx.PART_SQL}
@@ -131,7 +138,7 @@ def preview(spark, sf):
 @query(f"""WITH {fx.PART_SQL}
 SELECT id, y, avg_qty, avg_price, avg_disc, avg_tax FROM parts""")
 def select_features(spark, sf):
-    df = fx.part_table(spark, sf)
+    df = _parts(spark, sf)
     catalog = profile.null_column_screen(df, fx.PART_NUMERIC)
     listed = spark.createDataFrame([(c,) for c in fx.PART_NUMERIC if c.startswith("avg")], "feature string")
     return clean.pick(df, profile.feature_names(clean.keep_listed(catalog, listed)))
@@ -191,13 +198,13 @@ ksp AS (
 @query(f"""WITH {KS_SQL}
 SELECT feature, n_test, n_train, n_unique, round(d, 6) AS d, round(p_value, 6) AS p_value FROM ksp""")
 def ks_two_sample(spark, sf):
-    return rounded(ks.ks_two_sample(fx.part_table(spark, sf), fx.PART_NUMERIC))
+    return rounded(ks.ks_two_sample(_parts(spark, sf), fx.PART_NUMERIC))
 
 
 @query(f"""WITH {KS_SQL}
 SELECT feature, round(d, 6) AS d, round(p_value, 6) AS p_value FROM ksp WHERE p_value > 0.1""")
 def ks_filter(spark, sf):
-    return rounded(ks.ks_filter(fx.part_table(spark, sf), fx.PART_NUMERIC).select("feature", "d", "p_value"))
+    return rounded(ks.ks_filter(_parts(spark, sf), fx.PART_NUMERIC).select("feature", "d", "p_value"))
 
 
 @query(f"""WITH {KS_SQL},
@@ -206,7 +213,7 @@ stats AS (SELECT feature, stddev_samp(value) AS sd FROM long GROUP BY feature
 SELECT feature, round(sd, 6) AS sd, n_unique, round(d, 6) AS d, round(p_value, 6) AS p_value
 FROM ksp JOIN stats USING (feature) WHERE p_value > 0.1""")
 def screened_profile(spark, sf):
-    return rounded(ks.screened_profile(fx.part_table(spark, sf), fx.PART_NUMERIC))
+    return rounded(ks.screened_profile(_parts(spark, sf), fx.PART_NUMERIC))
 
 
 F_SQL = "round(power(r, 2) / (1 - power(r, 2)) * (n - 2), 3) AS f_stat"
@@ -236,7 +243,7 @@ hot AS (SELECT 'p_size_' || p_size AS feature FROM parts
         UNION ALL SELECT 'n_lines_' || n_lines FROM parts)
 SELECT feature, (SELECT count(*) FROM parts) AS n_rows, count(*) AS n_ones FROM hot GROUP BY feature""")
 def one_hot_integers(spark, sf):
-    hot = engineer.one_hot_integers(fx.part_table(spark, sf).select(ID, "p_size", "n_lines"), ["p_size", "n_lines"])
+    hot = engineer.one_hot_integers(_parts(spark, sf).select(ID, "p_size", "n_lines"), ["p_size", "n_lines"])
     names = [c for c in hot.columns if c != ID]
     sums = hot.agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(c) for c in names])
     return sums.unpivot(["n_rows"], names, "feature", "n_ones")
@@ -256,7 +263,7 @@ INEXACT = [f"{c}_{s}" for c, ss in OPEN_GATES.items() for s in ss
 
 @query(f"WITH {fx.PART_SQL} SELECT id, {EXPANDED} FROM parts")
 def nonlinear_expand(spark, sf):
-    out = engineer.nonlinear_expand(fx.part_table(spark, sf).select(ID, *FLOATS))
+    out = engineer.nonlinear_expand(_parts(spark, sf).select(ID, *FLOATS))
     return rounded(out.drop(*FLOATS), only=INEXACT)
 
 
@@ -271,7 +278,8 @@ def interaction_values(spark, sf):
 SELECT id, avg_qty * avg_disc AS "avg_qty*avg_disc", avg_disc * max_disc AS "avg_disc*max_disc" FROM parts""")
 def interaction_from_names(spark, sf):
     df = fx.part_table(spark, sf).select(ID, *FLOATS)
-    return engineer.interaction_from_names(df, LISTED).drop(*FLOATS)
+    listed = spark.createDataFrame([(n,) for n in LISTED], "feature string")
+    return engineer.interaction_values(df, engineer.listed_pairs(listed)).drop(*FLOATS)
 
 
 @query(f"""WITH {fx.PART_SQL}
@@ -291,10 +299,12 @@ def _pair_sql(source: str, names: Sequence[str], where: str = "y IS NOT NULL") -
 
 
 @query(f"""WITH {fx.PART_SQL}
-SELECT feature_a, feature_b, round(r, 6) AS r, {F_SQL} FROM ({_pair_sql("parts", fx.PART_MODEL)})""")
+SELECT feature_a || '*' || feature_b AS feature, round(r, 6) AS r, {F_SQL}
+FROM ({_pair_sql("parts", fx.PART_MODEL)})""")
 def interaction_screen(spark, sf):
-    out = moments.interaction_screen(fx.part_table(spark, sf), fx.PART_MODEL, alpha=None)
-    return out.select("feature_a", "feature_b", F.round("r", 6).alias("r"), F.round("f_stat", 3).alias("f_stat"))
+    out = moments.interaction_screen(_parts(spark, sf), fx.PART_MODEL, alpha=None)
+    return out.select(product_name("feature_a", "feature_b").alias("feature"), F.round("r", 6).alias("r"),
+                      F.round("f_stat", 3).alias("f_stat"))
 
 
 SCALED = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in fx.PART_MODEL)
@@ -303,7 +313,7 @@ SCALED = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}"
 @query(f"""WITH {fx.PART_SQL}, scaled AS (SELECT y, {SCALED} FROM parts WHERE y IS NOT NULL)
 SELECT feature_a, feature_b, round(r, 6) AS r, {F_SQL} FROM ({_pair_sql("scaled", fx.PART_MODEL)})""")
 def interaction_scaled_screen(spark, sf):
-    out = moments.interaction_screen(fx.part_table(spark, sf), fx.PART_MODEL, alpha=None, screen_on="scaled")
+    out = moments.interaction_screen(_parts(spark, sf), fx.PART_MODEL, alpha=None, screen_on="scaled")
     return out.select("feature_a", "feature_b", F.round("r", 6).alias("r"), F.round("f_stat", 3).alias("f_stat"))
 
 
@@ -314,7 +324,7 @@ SELECT id, round((avg_qty - mq) / sq, 6) AS avg_qty, round((avg_price - mp) / sp
        round((avg_disc - md) / sd, 6) AS avg_disc FROM parts, s""")
 def standardize(spark, sf):
     names = ["avg_qty", "avg_price", "avg_disc"]
-    df = _kept(fx.part_table(spark, sf), names)
+    df = _kept(_parts(spark, sf), names)
     return rounded(scaling.standardize(df, scaling.fit_scaler(df, names)).select(ID, *names))
 
 
@@ -323,7 +333,7 @@ s AS (SELECT avg(y) AS m, stddev_pop(y) AS sd FROM parts WHERE y IS NOT NULL)
 SELECT id, round((y - m) / sd, 6) AS scaled, round(y, 6) AS back, (y < 100.0)::INT AS below
 FROM parts, s""")
 def target_scale(spark, sf):
-    df = _kept(fx.part_table(spark, sf), [])
+    df = _kept(_parts(spark, sf), [])
     scaler = scaling.fit_scaler(df, [TARGET])
     scaled = scaler.scale(TARGET)
     return rounded(df.select(ID, scaled.alias("scaled"), scaler.invert(TARGET, scaled).alias("back"),
@@ -404,7 +414,7 @@ WHOLE_TWIN = [*fx.PART_WHOLE, "twin"]
 @query(f"""WITH {fx.PART_SQL}
 SELECT feature_a, feature_b, round(r, 6) AS r FROM ({_corr_sql("parts", WHOLE_TWIN)}) WHERE abs(r) > 0.25""")
 def correlation_edges(spark, sf):
-    out = moments.correlation_edges(fx.part_table(spark, sf), WHOLE_TWIN, 0.25)
+    out = moments.correlation_edges(_parts(spark, sf), WHOLE_TWIN, 0.25)
     return rounded(out.select("feature_a", "feature_b", "r"))
 
 
@@ -427,14 +437,14 @@ def _folds(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {fx.PART_SQL}, {fx.fold_sql()} SELECT id, repeat, fold FROM folds")
 def stratified_folds(spark, sf):
-    return _folds(_kept(fx.part_table(spark, sf), []))
+    return _folds(_kept(_parts(spark, sf), []))
 
 
 def _preds(spark, sf) -> DataFrame:
-    df = _kept(fx.part_table(spark, sf), ["avg_qty"])
+    df = _kept(_parts(spark, sf), ["avg_qty"])
     return _folds(df).join(df, ID).select(
         F.lit("fixed").alias("model"), ID, "repeat", "fold", F.col(TARGET).alias("actual"),
-        (2 * F.col("avg_qty") + 5).alias("prediction"))
+        (2 * F.col("avg_qty") + 5).alias("prediction")).persist()  # scores read it three times
 
 
 METRIC_SQL = {
@@ -542,7 +552,7 @@ def ols_fit(spark, sf):
 fit AS (SELECT regr_slope(y, avg_qty) AS w, regr_intercept(y, avg_qty) AS b FROM parts WHERE y IS NOT NULL)
 SELECT id, round(b + w * avg_qty, 6) AS prediction FROM parts, fit WHERE y IS NULL""")
 def predict_target(spark, sf):
-    df = _kept(fx.part_table(spark, sf), ["avg_qty"])
+    df = _kept(_parts(spark, sf), ["avg_qty"])
     scaler = scaling.fit_scaler(df, ["avg_qty", TARGET])
     scaled = scaling.standardize(df, scaler)
     model = linear.fit_gram(matrix(scaled, ["avg_qty"]))
@@ -553,7 +563,7 @@ def predict_target(spark, sf):
 @query(f"""WITH {fx.PART_SQL}
 SELECT round(regr_r2(y, avg_qty), 6) AS r2 FROM parts WHERE y IS NOT NULL""")
 def train_r2(spark, sf):
-    m = matrix(fx.part_table(spark, sf), ["avg_qty"])
+    m = matrix(_parts(spark, sf), ["avg_qty"])
     return rounded(validate.train_r2(m, linear.fit_gram(m)))
 
 
@@ -712,7 +722,7 @@ p AS (SELECT a.y AS y_low, b.y AS y_high, 1 - abs(a.y - b.y) / (a.y + b.y) AS ra
 SELECT y_low, y_high, round(ratio, 6) AS ratio, n_pairs::BIGINT AS n_pairs
 FROM p WHERE ratio >= {MIN_RATIO} AND n_pairs > 0""")
 def ratio_similarity(spark, sf):
-    return rounded(similarity.ratio_levels(fx.part_table(spark, sf), MIN_RATIO), only=["ratio"])
+    return rounded(similarity.ratio_levels(_parts(spark, sf), MIN_RATIO), only=["ratio"])
 
 
 @query(f"""WITH {MEASURED}
@@ -768,8 +778,8 @@ def tree_rows(spark, sf):
 
 
 def _scaled(spark, sf, names: Sequence[str] = fx.PART_MODEL) -> recipes.Prepared:
-    """The part table in model units; read by many passes, so kept in the cluster's memory."""
-    return recipes.scale_all(_kept(fx.part_table(spark, sf), list(names)).persist())
+    """The part table in model units."""
+    return recipes.scale_all(_kept(_parts(spark, sf), list(names)))
 
 
 def _coefficients(spark, model: linear.LinearModel) -> DataFrame:
@@ -797,7 +807,7 @@ def huber_l1(spark, sf):
 @query()
 def ridge_grid(spark, sf):
     p = _scaled(spark, sf)
-    held = folds.with_folds(p.matrix().df, _folds(fx.part_table(spark, sf)))
+    held = folds.with_folds(p.matrix().df, _folds(_parts(spark, sf)))
     return linear.ridge_grid(Matrix(held, tuple(p.names)), fx.FOLD_REPEATS, fx.FOLD_SPLITS)
 
 
@@ -808,19 +818,19 @@ def lasso(spark, sf):
 
 @query()
 def pca(spark, sf):
-    return trees.spread(trees.pca(_kept(fx.part_table(spark, sf), fx.PART_MODEL), fx.PART_MODEL))
+    return trees.spread(trees.pca(_kept(_parts(spark, sf), fx.PART_MODEL), fx.PART_MODEL))
 
 
 @query()
 def correlation_groups(spark, sf):
-    df = fx.part_table(spark, sf)
+    df = _parts(spark, sf)
     edges = moments.correlation_edges(clean.train_rows(df), WHOLE_TWIN, 0.91)
     pairs = [(r["feature_a"], r["feature_b"]) for r in edges.collect()]
     return search.groups_table(spark, search.correlation_groups(WHOLE_TWIN, pairs))
 
 
 def _search_input(spark, sf) -> tuple[recipes.Prepared, Matrix, list[list[str]]]:
-    df = _kept(fx.part_table(spark, sf), SEARCHED).persist()
+    df = _kept(_parts(spark, sf), SEARCHED)
     p = recipes.Recipe("search", recipes.unchanged, engineer.nonlinear_expand).prepare(df)
     arrays = _folds(df).groupBy(ID).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("repeat", "fold"))), lambda s: s["fold"]).alias("folds"))
@@ -888,7 +898,7 @@ def score_classifier(spark, sf):
 
 @query()
 def leaderboard(spark, sf):
-    df = _kept(fx.part_table(spark, sf), ["avg_qty", "avg_disc", "avg_tax", "twin"]).persist()
+    df = _kept(_parts(spark, sf), ["avg_qty", "avg_disc", "avg_tax", "twin"])
     specs = [models.model("template"), models.model("best_svr", ["avg_qty", "avg_qty*avg_disc"]),
              models.model("linear_reg")]
     return validate.leaderboard(df, specs, fx.FOLD_CUT, fx.FOLD_SPLITS, 2)[0]

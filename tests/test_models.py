@@ -181,6 +181,13 @@ def test_held_out_predictions_and_fold_errors(data):
             assert p["prediction"] == pytest.approx(x[p["id"]] @ w + b)
 
 
+def test_best_ridge(data):
+    x, y, df, names = data
+    _, m = held(df, names)
+    model, alpha = linear.best_ridge(m, 2, 3, (1.0, 1e6))
+    assert alpha == 1.0 and model.coef == linear.fit_gram(m, 1.0).coef
+
+
 def test_folds_are_balanced_and_repeatable(data):
     _, _, df, _ = data
     base = {tuple(r) for r in folds.stratified_folds(df, 0.0, 4, 3, prefix=1).collect()}

@@ -171,3 +171,13 @@ def test_f_tail_known_values():
     assert f_tail(np.array([4.964602744]), 10)[0] == pytest.approx(0.05, abs=1e-8)
     assert f_critical(0.05, 10) == pytest.approx(4.964602744, abs=1e-6)
     assert np.isnan(f_tail(np.array([np.nan]), 5)[0])
+
+
+def test_names_carry_lineage(spark):
+    rows = engineer.feature_catalog(spark, ["a", "a_log", "k_3", "a*k_3", "b_c"]).collect()
+    assert [(r["kind"], r["parents"], r["op"]) for r in rows] == [
+        ("raw", [], None), ("transform", ["a"], "log"), ("level", ["k"], "3"), ("product", ["a", "k_3"], "*"),
+        ("raw", [], None)]
+    listed = spark.createDataFrame([("b*a",), ("a",), ("a*c",)], "feature string")
+    assert engineer.listed_pairs(listed) == [("a", "c"), ("b", "a")]
+    assert engineer.parents_of(["b*a", "a", "a*c"]) == [("b", "a"), ("a", "c")]
