@@ -125,8 +125,8 @@ def column_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def distinct_beyond(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
     """(feature, n_seen): distinct non-null values, counted exactly up to ``k + 1``.
 
-    Each task stops looking at a column after ``k + 1`` values, so what moves is at most
-    tasks x columns x (k + 1) rows whatever the data.
+    Each task stops looking at a column after ``k + 1`` values, and tasks are bounded by the
+    cores, so what moves is at most tasks x columns x (k + 1) rows whatever the data.
     """
 
     def bounded(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -145,7 +145,8 @@ def distinct_beyond(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
         )
 
     values = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    seen = values.mapInArrow(bounded, "idx int, value double")
+    tasks = max_tasks(df.sparkSession)
+    seen = values.coalesce(tasks).mapInArrow(bounded, "idx int, value double")
     counted = seen.groupBy("idx").agg(F.count_distinct("value").alias("n_seen"))
     catalog = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(c).alias("feature"))
                         for i, c in enumerate(names)])

@@ -767,7 +767,8 @@ def spanning_tree(spark, sf):
     return spanning.spanning_tree(_vectors(spark, sf), "overall", "similar")
 
 
-@query()
+@query(f"""WITH {fx.VECTOR_SQL} SELECT id, y, """ + ", ".join(f"f[{i + 1}] AS e{i}" for i in range(6))
+       + " FROM vecs")  # a spanning tree touches every row
 def tree_rows(spark, sf):
     m = _vectors(spark, sf)
     rows = trees.spread(m)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType, IntegralType
 
 from descry import FEATURES, ID, TARGET
-from descry.operators.cleaning import test_rows, train_rows
+from descry.operators.cleaning import pick, test_rows, train_rows
 from descry.operators.folds import (MAX_SPLITS, REPEATS, SEED, choose_splits, label_folds,
                                     require_unique_ids, stratified_folds, with_folds)
 from descry.operators.linear import LinearModel, predict_folds
@@ -145,6 +145,8 @@ def leaderboard(df: DataFrame, specs: Sequence[ModelSpec], cut: float, n_splits:
     for spec in specs:
         prepared = spec.recipe.prepare(df)
         names = spec.select(prepared)
+        # many passes follow: they read a narrow table instead of repeating the recipe
+        prepared = replace(prepared, df=cut_lineage(pick(prepared.df, names)))
         found = score_regressor(prepared, names, spec.estimator, cut, spec.name, n_splits, repeats)
         final = spec.estimator.fit(prepared.matrix(names))
         actual = train_rows(df).select(ID, F.col(TARGET).alias("actual"))
