@@ -6,20 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descry.llm import simhash
+from descry.llm import language, simhash
 from descry.llm.common import stored, table
 from descry.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those of no clear language, go."""
+    ship_package(spark)
+    return language.in_a_language(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every SimHash component stays."""
     ship_package(spark)
     return simhash.one_of_each(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash_near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("simhash_near_dedup", near_dedup)]
 
 #: SQL has no trained language model and no tokenizer; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None

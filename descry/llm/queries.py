@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descry.llm import simhash
+from descry.llm import language, simhash
 from descry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +29,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 @query()
 def op9_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
