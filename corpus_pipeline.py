@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descry.llm import language, simhash
+from descry.llm import contamination, language, simhash
 from descry.llm.common import stored, table
 from descry.session import ship_package
 
@@ -25,7 +25,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("simhash_near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    ship_package(spark)
+    return contamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("simhash_near_dedup", near_dedup),
+                                  ("decontamination", decontamination)]
 
 #: SQL has no trained language model and no tokenizer; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None

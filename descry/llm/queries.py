@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descry.llm import language, simhash
+from descry.llm import contamination, language, simhash
 from descry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
+
+
+@query(contamination.CONTAINED_SQL)
+def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -82,12 +82,6 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _masks(spark, masks: list[int]) -> DataFrame:
-    """One row per mask; the list depends on the bit distance and level only."""
-    return F.broadcast(spark.createDataFrame([(i, _signed(m)) for i, m in enumerate(masks)],
-                                             "m int, mask long"))
-
-
 def pivot_table(fps: np.ndarray) -> np.ndarray:
     """Hamming distances of each fingerprint to the reference fingerprints."""
     pivots = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, SEED) for i in range(PIVOTS)],
@@ -173,8 +167,9 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, group: int = GROUP
     spark = distinct.sparkSession
     parts = distance + 1
     masks = [m for first in _cuts(0, parts) for m in _cuts(first, parts)]
-    rows = distinct.select("fp").crossJoin(_masks(spark, masks)).select(
-        "m", F.col("fp").bitwiseAND(F.col("mask")).alias("v"), "fp")
+    keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v"))
+                     for i, m in enumerate(masks)])
+    rows = distinct.select("fp", F.explode(keys).alias("key")).select("key.m", "key.v", "fp")
     found = None
     while True:
         counts = stored(rows.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
