@@ -30,12 +30,18 @@ def exactly(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{where[n]}").alias(n) for n in names])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+ROWS_PER_FILE = 1 << 17
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes ``df`` to the folder that the cluster shares and reads it back.
 
-    Lineage ends there, so the loss of an executor does not repeat the work before it.
+    Lineage ends there, so the loss of an executor does not repeat the work before it. With
+    ``rows``, a bound of its narrow rows, the files are no more than these need.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     path = f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

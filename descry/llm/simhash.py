@@ -164,7 +164,7 @@ def _scan(distance: int):
 def near_links(distinct: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` whose components are those of all
     pairs within ``distance`` bits."""
-    spark = distinct.sparkSession
+    spark, nodes = distinct.sparkSession, distinct.count()
     parts = distance + 1
     masks = [m for first in _cuts(0, parts) for m in _cuts(first, parts)]
     keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v"))
@@ -172,7 +172,8 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, group: int = GROUP
     rows = distinct.select("fp", F.explode(keys).alias("key")).select("key.m", "key.v", "fp")
     found = None
     while True:
-        counts = stored(rows.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
+        counts = stored(rows.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1"),
+                        "keys", 8 * nodes)
         small = rows.join(counts.filter(F.col("n") <= group).select("m", "v"), ["m", "v"])
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         part = (small.repartition(tasks, "m", "v").sortWithinPartitions("m", "v")
@@ -202,14 +203,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     are ignored; an empty table gives an empty table.
     """
     fps = stored(fingerprints(docs, words), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min(DOC).alias("node")), "nodes")
-    links = stored(near_links(nodes, distance, group).distinct(), "near")
+    rows = fps.count()
+    nodes = stored(fps.groupBy("fp").agg(F.min(DOC).alias("node")), "nodes", rows)
+    links = stored(near_links(nodes, distance, group).distinct(), "near", rows)
     # Fingerprints are the graph's nodes; the smallest doc_id of a component names it afterwards.
-    labels = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    labels = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), rows)
     named = nodes.join(labels, nodes.fp == labels.node, "left").select(
         "fp", nodes.node.alias("least"), F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = stored(named.join(least, "label").select("fp", "component_id"), "classes")
+    classes = stored(named.join(least, "label").select("fp", "component_id"), "classes", rows)
     return fps.join(classes, "fp").select(
         DOC, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -219,7 +221,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -
     any one). Rows without doc_id cannot be told apart and all stay."""
     gone = stored(near_duplicates(docs, words, distance)
                   .filter(f"{DOC} is not null and component_id <> {DOC}")
-                  .select(F.col(DOC).alias("gone")).distinct(), "gone")
+                  .select(F.col(DOC).alias("gone")).distinct(), "gone", docs.count())
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key = f"c{names.index(DOC)}"
