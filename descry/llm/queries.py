@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descry.llm import contamination, language, simhash
+from descry.llm import contamination, language, packing, simhash
 from descry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,8 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
 @query(contamination.CONTAINED_SQL)
 def op4_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
