@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descry.llm import contamination, language, simhash
+from descry.llm import contamination, language, packing, pii, simhash
 from descry.llm.common import stored, table
 from descry.session import ship_package
 
@@ -31,8 +31,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return contamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("simhash_near_dedup", near_dedup),
-                                  ("decontamination", decontamination)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; no document goes."""
+    ship_package(spark)
+    return pii.redacted(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token sequences that the remaining documents fill."""
+    ship_package(spark)
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id), ("simhash_near_dedup", near_dedup),
+    ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packed)]
 
 #: SQL has no trained language model and no tokenizer; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
