@@ -10,17 +10,24 @@ import array
 import os
 import re
 import sys
+from collections.abc import Callable
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-CHUNKS = 300_000  # chunks of one generation that a task remembers
+CHUNKS = 700_000  # chunks of one generation that a task remembers
 #: The code points of Unicode's White_Space property, as the byte-level pattern has them.
 SPACE = ("\t\n\x0b\x0c\r \x85\xa0           "
          "     　")
 #: A space belongs to the word after it; of other white space the last character stands alone before a word.
 BYTE_LEVEL = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-WORD_LEVEL = re.compile("[^ \t\n\r]+")  # the tokenizer drops white space
+WORDS = re.compile(f"[^{SPACE}]+")
+ODD = "\x1c\x1d\x1e\x1f"  # white space to Python alone
+
+
+def word_chunks(text: str) -> list[str]:
+    """Chunks for tokenizers that drop white space."""
+    return WORDS.findall(text) if any(c in text for c in ODD) else text.split()
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,11 +39,11 @@ def tokenizer_path(name: str) -> str:
 class Encoder(dict):
     """Chunk to its ids as little-endian unsigned 32-bit integers, in two generations."""
 
-    def __init__(self, path: str, chunk: re.Pattern, known: int = CHUNKS):
+    def __init__(self, path: str, split: Callable[[str], list[str]], known: int = CHUNKS):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split, self.known, self.older = chunk.findall, known, {}
+        self.split, self.known, self.older = split, known, {}
 
     def __missing__(self, chunk: str) -> bytes:
         value = self.older.get(chunk)
@@ -59,7 +66,7 @@ class Encoder(dict):
 def encoder(path: str, byte_level: bool) -> Encoder:
     """The encoder of this process; later tasks of the same worker find its chunks again."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path, BYTE_LEVEL if byte_level else WORD_LEVEL)
+    return Encoder(path, BYTE_LEVEL.findall if byte_level else word_chunks)
 
 
 def end_mark(token: int) -> bytes:
