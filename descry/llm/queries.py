@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descry.llm import contamination, language, packing, pii, simhash
+from descry.llm import contamination, language, packing, pii, simhash, tokenfiles
 from descry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,8 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op6_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.personal_data(table(spark, sf, "documents"))
+
+
+@query()
+def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf, "documents"))
