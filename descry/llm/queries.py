@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descry.llm import contamination, language, packing, pii, simhash, tokenfiles
+from descry.llm import (contamination, language, packing, pii, simhash, tokenfiles,
+                        toxicity)
 from descry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +55,8 @@ def op6_personal_data(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf, "documents"))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
