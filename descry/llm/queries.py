@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from descry.llm import (contamination, language, packing, pii, simhash, tokenfiles,
+from descry.llm import (contamination, language, packing, pii, sharding, simhash, tokenfiles,
                         toxicity)
 from descry.llm.common import table
 
@@ -60,3 +60,8 @@ def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query(sharding.SHARDS_SQL)
+def op5_extendible_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shards(table(spark, sf, "documents"))
