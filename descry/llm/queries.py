@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from descry.llm import (contamination, language, packing, pii, sharding, simhash, tokenfiles,
-                        toxicity)
+                        topk, toxicity)
 from descry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +66,8 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query(sharding.SHARDS_SQL)
 def op5_extendible_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shards(table(spark, sf, "documents"))
+
+
+@query(topk.TOP_K_SQL)
+def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
