@@ -1,7 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, remembered word by word.
 
 A pre-tokenizer never lets a token cross from white space into the next word, so a text's ids
-are those of its chunks in order. Chunks repeat; each task remembers those seen lately.
+are those of its chunks in order. Chunks repeat; each task remembers those seen lately. New
+chunks of plain letters and trailing marks are cut by rule and go to the tokenizer's model at
+once; all others take the tokenizer's whole way of normalising and cutting.
 """
 
 from __future__ import annotations
@@ -29,6 +31,20 @@ def word_chunks(text: str) -> list[str]:
     """Chunks for tokenizers that drop white space."""
     return WORDS.findall(text) if any(c in text for c in ODD) else text.split()
 
+#: Letters without accents of their own, then marks: two pre-tokens for either kind of pattern.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*%&$#|]*)")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1
+    characters for themselves, the others numbered on from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)]
+
+
+LETTERS = byte_letters()
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -36,22 +52,42 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def packed(ids: list[int]) -> bytes:
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder(dict):
     """Chunk to its ids as little-endian unsigned 32-bit integers, in two generations."""
 
-    def __init__(self, path: str, split: Callable[[str], list[str]], known: int = CHUNKS):
+    def __init__(self, path: str, byte_level: bool, known: int = CHUNKS):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split, self.known, self.older = split, known, {}
+        self.split = BYTE_LEVEL.findall if byte_level else word_chunks
+        self.lowers, self.known, self.older = not byte_level, known, {}
+
+    def plain(self, chunk: str) -> bytes | None:
+        """The ids of a chunk of plain letters and marks; None if it is another."""
+        found = PLAIN.fullmatch(chunk)
+        if not found:
+            return None
+        word, marks = found.groups()
+        if marks:
+            return self[word] + self[marks]
+        if self.lowers and (low := word.lower()) != word:
+            return self[low]
+        letters = "".join([LETTERS[b] for b in word.encode()])
+        return packed([t.id for t in self.tokenizer.model.tokenize(letters)])
 
     def __missing__(self, chunk: str) -> bytes:
         value = self.older.get(chunk)
         if value is None:
-            ids = array.array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            value = ids.tobytes()
+            value = self.plain(chunk)
+        if value is None:
+            value = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if len(self) >= self.known:
             self.older = dict(self)
             self.clear()
@@ -66,7 +102,7 @@ class Encoder(dict):
 def encoder(path: str, byte_level: bool) -> Encoder:
     """The encoder of this process; later tasks of the same worker find its chunks again."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path, BYTE_LEVEL.findall if byte_level else word_chunks)
+    return Encoder(path, byte_level)
 
 
 def end_mark(token: int) -> bytes:
