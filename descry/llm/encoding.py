@@ -17,12 +17,16 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-CHUNKS = 700_000  # chunks of one generation that a task remembers
+CHUNKS = 400_000  # chunks of one generation that a task remembers
 #: The code points of Unicode's White_Space property, as the byte-level pattern has them.
 SPACE = ("\t\n\x0b\x0c\r \x85\xa0           "
          "     　")
+#: Letters without accents of their own, and marks that no pattern joins with letters.
+PLAIN_LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:*%&$#|"
 #: A space belongs to the word after it; of other white space the last character stands alone before a word.
-BYTE_LEVEL = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+BYTE_LEVEL = re.compile(
+    f" ?[{PLAIN_LETTERS}]++(?=[{SPACE}{MARKS}]|$)|[{MARKS}]++(?=[{SPACE}]|$)"
+    f"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORDS = re.compile(f"[^{SPACE}]+")
 ODD = "\x1c\x1d\x1e\x1f"  # white space to Python alone
 
@@ -31,8 +35,8 @@ def word_chunks(text: str) -> list[str]:
     """Chunks for tokenizers that drop white space."""
     return WORDS.findall(text) if any(c in text for c in ODD) else text.split()
 
-#: Letters without accents of their own, then marks: two pre-tokens for either kind of pattern.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*%&$#|]*)")
+#: Letters, then marks: two pre-tokens for either kind of pattern.
+PLAIN = re.compile(f"( ?[{PLAIN_LETTERS}]+)([{MARKS}]*)")
 
 
 def byte_letters() -> list[str]:
