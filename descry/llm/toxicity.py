@@ -24,7 +24,7 @@ from descry.llm.common import DOC, TEXT, append_columns, exactly, fold_of
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
-SAMPLE = 12_000  # labelled documents that weights are fitted on
+SAMPLE = 18_000  # labelled documents that weights are fitted on
 SAMPLE_BYTES = 64 << 20  # and bytes of their texts
 SUPPORT = 3  # toxic documents of the sample that must hold a feature
 ODDS = 8.0  # how many times likelier it must be in a toxic document than in a clean one
@@ -82,18 +82,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, sample_byte
                     ) -> list[tuple[str, int]]:
     """(text, toxic) of about ``sample`` labelled documents, at most about ``sample_bytes``.
 
-    Documents are taken whole and by the hash of their id and text; both limits are a share of
-    all labelled documents, which are counted first. A document that has several labels counts
-    with each; null labels and texts teach nothing.
+    The labels are counted and sampled by the hash of their id before they meet a text, so the
+    side that is broadcast has about ``sample`` rows and no text is shuffled; if the texts turn
+    out too long, fewer documents are taken. Documents are taken whole. A document that has
+    several labels counts with each; null labels and texts teach nothing.
     """
-    known = exactly(labels, DOC, "toxic").filter("toxic is not null")
-    both = exactly(docs, DOC, TEXT).filter(f"{TEXT} is not null").join(known, DOC)
-    n, size = both.agg(F.count("*"), F.sum(F.octet_length(TEXT))).first()
+    known = exactly(labels, DOC, "toxic").filter(f"{DOC} is not null and toxic is not null")
+    place = F.pmod(F.xxhash64(F.col(DOC).cast("long")), F.lit(1_000_003)) / 1_000_003
+    share = min(1.0, sample / max(known.count(), 1))
+    texts = exactly(docs, DOC, TEXT).filter(f"{TEXT} is not null")
+
+    def taken(share: float) -> DataFrame:
+        return texts.filter(place <= share).join(F.broadcast(known.filter(place <= share)), DOC)
+
+    n, size = taken(share).agg(F.count("*"), F.sum(F.octet_length(TEXT))).first()
     if not n:
         return []
-    share = min(1.0, sample / n, sample_bytes / max(size or 1, 1))
-    place = F.pmod(F.xxhash64(DOC, TEXT), F.lit(1_000_003)) / 1_000_003
-    rows = both.filter(place < share).select(TEXT, F.col("toxic").cast("int")).collect()
+    share *= min(1.0, sample_bytes / max(size or 1, 1))
+    rows = taken(share).select(TEXT, F.col("toxic").cast("int")).collect()
     return sorted((r[0], int(r[1] > 0)) for r in rows)
 
 
@@ -164,7 +170,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1,
     answered alike; other columns are ignored; an empty table gives an empty table.
     """
     fold = fold_of(DOC, parts) == held
-    model = fit_toxicity(exactly(docs, DOC, TEXT).filter(~fold), labels, sample)
+    model = fit_toxicity(docs, exactly(labels, DOC, "toxic").filter(~fold), sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # no more words than the sample has
 
     def each():
