@@ -32,7 +32,7 @@ ITEM_BYTES = 32 << 20  # text of benchmark items that one pass over the document
 WORD = re.compile(r"\w+")
 CHAIN = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
-KNOWN = 300_000  # word hashes a task remembers
+KNOWN = 200_000  # word hashes a task remembers
 
 
 class WordHashes(dict):

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-CHUNKS = 400_000  # chunks of one generation that a task remembers
+CHUNKS = 250_000  # chunks of one generation that a task remembers
 #: The code points of Unicode's White_Space property, as the byte-level pattern has them.
 SPACE = ("\t\n\x0b\x0c\r \x85\xa0           "
          "     　")

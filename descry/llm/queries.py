@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from descry.llm import (contamination, language, packing, pii, sharding, simhash, tokenfiles,
-                        topk, toxicity)
+                        substrings, topk, toxicity)
 from descry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,8 @@ def op5_extendible_sharding(spark: SparkSession, sf: str) -> DataFrame:
 @query(topk.TOP_K_SQL)
 def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query()
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.duplicate_passages(table(spark, sf, "documents"))

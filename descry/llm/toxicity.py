@@ -29,7 +29,7 @@ SAMPLE_BYTES = 64 << 20  # and bytes of their texts
 SUPPORT = 3  # toxic documents of the sample that must hold a feature
 ODDS = 8.0  # how many times likelier it must be in a toxic document than in a clean one
 PREFIXES = (3, 4, 5)
-KNOWN = 300_000  # words a task remembers
+KNOWN = 200_000  # words a task remembers
 THRESHOLD = 0.7
 PRIOR = -6.0  # where the sentence bias starts: nearly all sentences are clean
 
