@@ -28,6 +28,7 @@ WORDS, DISTANCE = 3, 3
 SEED = 42
 PIVOTS = 24  # reference fingerprints
 GROUP = 4096  # fingerprints of one key that one task compares
+FREE = 12  # free bits of a key that is not cut again
 BLOCK = 512  # rows compared with as many at once
 STEP = 1 << 18  # hashes whose bits are counted at once
 
@@ -174,12 +175,14 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, group: int = GROUP
     while True:
         counts = stored(rows.groupBy("m", "v").agg(F.count("*").alias("n")).filter("n > 1"),
                         "keys", 8 * nodes)
-        small = rows.join(counts.filter(F.col("n") <= group).select("m", "v"), ["m", "v"])
+        last = 64 - masks[0].bit_count() <= FREE  # no more than 2 ** FREE fingerprints share a key
+        fits = (F.col("n") <= group) | F.lit(last)
+        small = rows.join(counts.filter(fits).select("m", "v"), ["m", "v"])
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         part = (small.repartition(tasks, "m", "v").sortWithinPartitions("m", "v")
                 .mapInArrow(_scan(distance), "a long, b long"))
         found = part if found is None else found.unionAll(part)
-        large = counts.filter(F.col("n") > group).select("m", "v")
+        large = counts.filter(~fits).select("m", "v")
         if large.isEmpty():
             return found
         deeper = [_cuts(m, parts) for m in masks]
