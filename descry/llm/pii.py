@@ -186,6 +186,11 @@ def _all_spans(df: DataFrame, spans: Column, key: str, extra: DataFrame | None)
         "all_spans", F.array_sort(F.concat(spans, F.coalesce("extra", none)))).drop("extra")
 
 
+def _counted(kind: str) -> Column:
+    order = KINDS.index(kind)
+    return F.size(F.filter("spans", lambda s: s["kind"] == order)).cast("long")
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document.
 
@@ -196,8 +201,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     base = located(docs)
     found = _all_spans(base, F.col("spans"), "row", discovered_spans(base, "row"))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}")
-              for i, k in enumerate(KINDS)]
+    counts = [_counted(k).alias(f"n_{k}") for k in KINDS]
     return found.select(DOC, *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"),
                         _listed(F.col("all_spans")).alias("spans"))
 
