@@ -10,28 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descry import TARGET
-from descry.functions.columns import quoted
+from descry.functions.columns import finite, quoted
 from descry.operators.blocks import BLOCK, add_up, dense, matrix, sums_batch
 from descry.operators.cleaning import train_rows
 from descry.session import max_tasks
 
-WIDE = 8  # columns beyond which generated code per column costs more than a batch pass
-
-
-def _inline_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    exprs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(names):
-        x = quoted(c).cast("double")
-        exprs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"low{i}"), F.max(x).alias(f"high{i}"),
-                  F.avg(x).alias(f"mean{i}"), F.var_pop(x).alias(f"var{i}")]
-    rows = [F.struct(
-        F.lit(i).alias("idx"), F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"),
-        (F.col("rows") - F.col(f"n{i}")).alias("n_null"), F.col(f"low{i}").alias("low"),
-        F.col(f"high{i}").alias("high"), F.col(f"mean{i}").alias("mean"),
-        F.col(f"var{i}").alias("var_pop")) for i, c in enumerate(names)]
-    return df.agg(*exprs).select(F.inline(F.array(*rows)))
-
-
 def _merge(block: np.ndarray) -> np.ndarray:
     """Merges stacked (n, rows, low, high, mean, squares about the mean) of many columns."""
     part = block.reshape(len(block), 6, -1)
@@ -44,7 +27,8 @@ def _merge(block: np.ndarray) -> np.ndarray:
 
 
 def _batch_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The same figures for many columns: one numpy pass over batches, merged per block."""
+    """The figures of all columns: one numpy pass over batches, merged per block. Null, NaN and
+    infinite values are missing alike."""
     width = len(names)
     cuts = [slice(s, min(s + BLOCK, width)) for s in range(0, width, BLOCK)]
     tasks = max_tasks(df.sparkSession)
@@ -55,7 +39,8 @@ def _batch_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
             if not len(batch):
                 continue
             x = dense(batch, width)
-            there = ~np.isnan(x)
+            there = np.isfinite(x)
+            x = np.where(there, x, 0.0)
             n = there.sum(axis=0).astype(float)
             mean = np.where(there, x, 0.0).sum(axis=0) / np.where(n > 0, n, 1.0)
             squares = (np.where(there, x - mean, 0.0) ** 2).sum(axis=0)
@@ -95,10 +80,10 @@ def _batch_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def column_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row per column: counts, range, mean, population variance, sample sd.
 
-    A global aggregate: each task sends one row (or one per block of columns); no value
-    leaves its partition.
+    A global aggregate: each task sends one row per block of columns; no value leaves its
+    partition. NaN and infinities count as null.
     """
-    stats = _inline_stats(df, names) if len(names) <= WIDE else _batch_stats(df, names)
+    stats = _batch_stats(df, names)
     sd = F.sqrt(F.try_divide(F.col("var_pop") * F.col("n"), F.col("n") - 1))
     return stats.withColumn("sd", sd)
 
@@ -109,7 +94,7 @@ def column_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
     Values go to long form and are pre-aggregated per (column, value) before they move,
     so a value held by a third of the rows is one row per task.
     """
-    long = df.select(*[quoted(c).cast("double").alias(c) for c in names]).unpivot(
+    long = df.select(*[finite(quoted(c)).alias(c) for c in names]).unpivot(
         [], [quoted(c) for c in names], "feature", "value"
     )
     return long.groupBy("feature").agg(
@@ -123,7 +108,7 @@ def column_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def distinct_beyond(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
-    """(feature, n_seen): distinct non-null values, counted exactly up to ``k + 1``.
+    """(feature, n_seen): distinct finite values, counted exactly up to ``k + 1``.
 
     Each task stops looking at a column after ``k + 1`` values, and tasks are bounded by the
     cores, so what moves is at most tasks x columns x (k + 1) rows whatever the data.
@@ -144,7 +129,7 @@ def distinct_beyond(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
             names=["idx", "value"],
         )
 
-    values = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    values = df.select(*[finite(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
     tasks = max_tasks(df.sparkSession)
     seen = values.coalesce(tasks).mapInArrow(bounded, "idx int, value double")
     counted = seen.groupBy("idx").agg(F.count_distinct("value").alias("n_seen"))

@@ -12,7 +12,7 @@ from pyspark.sql.types import FractionalType, IntegralType
 
 from descry import FEATURES, ID, TARGET
 from descry.operators.cleaning import pick, test_rows, train_rows
-from descry.operators.folds import (MAX_SPLITS, REPEATS, SEED, choose_splits, label_folds,
+from descry.operators.folds import (REPEATS, SEED, choose_splits, label_folds,
                                     require_unique_ids, stratified_folds, with_folds)
 from descry.operators.linear import LinearModel, predict_folds
 from descry.operators.metrics import (class_report, confusion_matrix, cv_predict_mean, fold_metrics,
@@ -101,8 +101,7 @@ def score_classifier(df: DataFrame, names: Sequence[str], label: str, estimator,
     """
     require_label(df, label)
     rows = df.filter(F.col(label).isNotNull()).select(ID, F.col(label).cast("int").alias("label"), *names)
-    positives = rows.filter("label = 1").count()
-    k = min(positives, MAX_SPLITS) if n_splits is None else n_splits
+    k = rows.filter("label = 1").count() if n_splits is None else n_splits
     if k < 2:
         raise ValueError(f"need at least two splits, got {k}")
     folds = label_folds(rows.select(ID, "label"), k, repeats, seed)

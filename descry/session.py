@@ -25,6 +25,7 @@ def session(app: str = "descry", master: str | None = None, **conf: str) -> Spar
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -57,8 +58,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def max_tasks(spark: SparkSession) -> int:
-    """Upper bound on the tasks of a pass whose every task emits a block of partial sums."""
-    return 3 * spark.sparkContext.defaultParallelism
+    """Upper bound on the tasks of a pass whose every task emits a block of partial sums. The
+    configured shuffle width counts too: cores may still be few when executors come and go."""
+    return max(3 * spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def ship_package(spark: SparkSession) -> None:

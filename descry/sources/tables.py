@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from descry import ID, TARGET
-from descry.functions.columns import quoted
+from descry.functions.columns import finite, quoted
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
@@ -32,10 +32,14 @@ def read_descriptors(spark: SparkSession, path: str, key: str, target: str | Non
 
 
 def as_descriptors(df: DataFrame, key: str, target: str | None = None) -> DataFrame:
+    """Names the key and the target; NaN and infinite values become null, the one sign of
+    missing values from here on."""
     first = [quoted(key).alias(ID)]
     if target is not None:
-        first.append(quoted(target).cast("double").alias(TARGET))
-    return df.select(*first, *[quoted(c) for c in df.columns if c not in (key, target)])
+        first.append(finite(quoted(target)).alias(TARGET))
+    floats = {n for n, t in df.dtypes if t in ("double", "float")}
+    return df.select(*first, *[finite(quoted(c)).alias(c) if c in floats else quoted(c)
+                               for c in df.columns if c not in (key, target)])
 
 
 def read_decoys(spark: SparkSession, path: str, key: str, value: float = 250.0,

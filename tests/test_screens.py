@@ -79,9 +79,9 @@ def odd(spark):
         rows, "id long, y double, same double, empty double, few double, many double, bit long")
 
 
-@pytest.mark.parametrize("wide", [0, 100])
-def test_column_stats_both_ways(spark, odd, wide, monkeypatch):
-    monkeypatch.setattr(profile, "WIDE", wide)
+@pytest.mark.parametrize("block", [2, 100])
+def test_column_stats_in_blocks(spark, odd, block, monkeypatch):
+    monkeypatch.setattr(profile, "BLOCK", block)
     rows = {r["feature"]: r for r in profile.column_stats(odd, ["same", "empty", "few", "many", "bit"]).collect()}
     assert rows["same"]["sd"] == 0 and rows["empty"]["n_null"] == 60
     assert rows["empty"]["low"] is None and rows["empty"]["sd"] is None
@@ -106,6 +106,29 @@ def test_batch_stats_over_blocks(spark, monkeypatch):
         assert (r["low"], r["high"]) == (np.nanmin(col), np.nanmax(col))
 
 
+@pytest.mark.parametrize("parts,batch", [(1, 10000), (5, 3)])
+def test_missing_values_mean_the_same_everywhere(spark, parts, batch):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, nan if i % 5 == 0 else float(i), inf if i % 7 == 0 else 1.0 + i % 2, None if i % 3 else -inf)
+            for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(parts)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        more = df.select("*", *[F.lit(1.0).alias(f"x{i}") for i in range(12)])
+        for names in (["a", "b", "c"], ["a", "b", "c", *[f"x{i}" for i in range(12)]]):
+            stats = {r["feature"]: r for r in profile.column_stats(more, names).collect()}
+            assert (stats["a"]["n"], stats["a"]["n_null"], stats["a"]["low"], stats["a"]["high"]) == (80, 20, 1.0, 99.0)
+            assert stats["a"]["mean"] == pytest.approx(np.mean([i for i in range(100) if i % 5]))
+            assert stats["b"]["n_null"] == 15 and stats["c"]["n"] == 0 and stats["c"]["sd"] is None
+            seen = {r["feature"]: r["n_seen"] for r in profile.distinct_beyond(more, names, 30).collect()}
+            assert (seen["a"], seen["b"], seen["c"]) == (31, 2, 0) or seen["a"] > 30
+        found = {r["feature"]: r for r in profile.column_profile(df, ["a", "b"]).collect()}
+        assert (found["a"]["n_unique"], found["b"]["n_unique"], found["a"]["n_null"]) == (80, 2, 20)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_screens(odd):
     names = ["same", "empty", "few", "many"]
     assert profile.feature_names(profile.zero_variance_screen(odd, names)) == ["few", "many"]
