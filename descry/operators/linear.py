@@ -6,6 +6,7 @@ up weighted moments of all models at once, and the driver solves systems of colu
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
@@ -25,13 +26,15 @@ FOLDS = "folds"
 
 @dataclass(frozen=True)
 class LinearModel:
-    """Coefficients by feature name. ``gap`` is the relative duality gap where known."""
+    """Coefficients by feature name. ``gap`` is the relative duality gap where known;
+    ``converged`` is false if the fit stopped at its greatest number of passes."""
 
     names: tuple[str, ...]
     coef: tuple[float, ...]
     intercept: float
     gap: float | None = None
     passes: int = 1
+    converged: bool = True
 
     def column(self) -> Column:
         """Prediction from wide columns."""
@@ -69,6 +72,13 @@ class Loss:
     alpha: float = 0.0
 
 
+def require_whole(names: Sequence[str], missing: np.ndarray) -> None:
+    """Fits refuse missing features: one would spoil every sum without a sign."""
+    bad = [n for n, x in zip(names, missing, strict=True) if x]
+    if bad:
+        raise ValueError(f"missing or infinite values, fill or drop them before fitting: {bad[:20]}")
+
+
 def train_matrix(m: Matrix) -> Matrix:
     return replace(m, df=m.df.filter(F.col(TARGET).isNotNull()))
 
@@ -131,7 +141,10 @@ def collect_grams(m: Matrix, repeats: int = 0, n_splits: int = 0
     found = gather_sums(parts, ["repeat", "fold"], tasks, size)
     if not found:
         raise ValueError("no rows to fit")
-    return {k: v.reshape(width, width) for k, v in found.items()}
+    out = {k: v.reshape(width, width) for k, v in found.items()}
+    ends = sum(np.diag(g) for g in out.values())
+    require_whole([*m.names, TARGET], ~np.isfinite(ends[1:]))
+    return out
 
 
 def solve_gram(g: np.ndarray, cols: Sequence[int], alpha: float = 0.0, l1: float = 0.0
@@ -385,12 +398,20 @@ class _Search:
         self.w = following
 
 
+def missing_features(rows: DataFrame, width: int) -> np.ndarray:
+    """Which positions of the features are missing or infinite in some row."""
+    bad = F.transform(FEATURES, lambda x: (x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    found = rows.select(F.posexplode(bad)).filter("col").select("pos").distinct().collect()
+    return np.isin(np.arange(width), [r["pos"] for r in found])
+
+
 def fit_reweighted(m: Matrix, fits: Sequence[Fit], loss: Loss, tol: float = 1e-3,
-                   max_passes: int = 60) -> list[LinearModel]:
+                   max_passes: int = 500) -> list[LinearModel]:
     """Fits all models together, one pass over the rows per step; a finished model drops out.
 
     Absolute loss: damped Newton steps on a rounded corner that sharpens (Madsen and Nielsen
     1993) until the duality gap is within ``tol`` of the objective; the gap is reported.
+    A model that needs more than ``max_passes`` says so by ``converged`` and a warning.
     """
     width = len(m.names)
     cols = [FEATURES, TARGET] + ([FOLDS] if any(f.held_out for f in fits) else [])
@@ -404,6 +425,8 @@ def fit_reweighted(m: Matrix, fits: Sequence[Fit], loss: Loss, tol: float = 1e-3
             for i in live:
                 if i not in sums:
                     raise ValueError("a model has no rows to fit")
+                if step == 0 and not np.isfinite(sums[i]["abs"]):
+                    require_whole(m.names, missing_features(rows, width))
                 states[i].passes += 1
                 if step == 0:
                     states[i].start(sums[i], loss)
@@ -419,7 +442,10 @@ def fit_reweighted(m: Matrix, fits: Sequence[Fit], loss: Loss, tol: float = 1e-3
         value, w = s.best
         gap = (value - s.bound) / max(abs(value), 1e-300) if loss.kind == "absolute" else None
         out.append(LinearModel(tuple(m.names[c] for c in f.cols), tuple(map(float, w[1:])),
-                               float(w[0]), None if gap is None else float(gap), s.passes))
+                               float(w[0]), None if gap is None else float(gap), s.passes, s.done))
+    if live:
+        warnings.warn(f"{len(live)} of {len(fits)} models stopped after {max_passes} passes",
+                      RuntimeWarning, stacklevel=2)
     return out
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from descry import FEATURES, ID, TARGET
 from descry.functions.columns import dot, norm
-from descry.operators.blocks import Matrix, dense, gather_sums
+from descry.operators.blocks import Matrix, dense, gather_sums, values_of
 from descry.session import cut_lineage, max_tasks
 
 ROWS_PER_BLOCK = 2048
@@ -102,33 +102,36 @@ def cosine_pairs(m: Matrix, min_sim: float, with_target: bool = False,
             if len(batch):
                 theta = angles(dense(batch, width))
                 cell = theta.argmin(axis=1)
-                yield pa.RecordBatch.from_pydict({
-                    "cell": pa.array(cell.astype(np.int32)),
-                    "theta": pa.array(theta[np.arange(len(cell)), cell])})
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cell.astype(np.int32)),
+                     pa.array(theta[np.arange(len(cell)), cell])],
+                    names=[*batch.schema.names, "own", "theta"])
 
+    schema = f"{ID} {id_type}, copies long, {FEATURES} array<double>{target}"
+    # The cell of a row is decided once: two pivots may tie, and a later pass over batches of
+    # another size may round the other way.
+    placed = cut_lineage(rows.select(*carried).mapInArrow(home, f"{schema}, own int, theta double"))
     radius = np.full(k, -np.inf)
-    for r in rows.select(FEATURES).mapInArrow(home, "cell int, theta double").groupBy("cell").agg(
-            F.max("theta").alias("radius")).collect():
-        radius[r["cell"]] = r["radius"]
+    for r in placed.groupBy("own").agg(F.max("theta").alias("radius")).collect():
+        radius[r["own"]] = r["radius"]
 
     def visits(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             theta = angles(dense(batch, width))
-            cell = theta.argmin(axis=1)
+            cell = values_of(batch, "own")
             go = theta <= radius + reach
             go &= np.arange(k)[None, :] >= cell[:, None]  # the other half meets in that cell
             go[np.arange(len(cell)), cell] = True
             who, where = np.nonzero(go)
-            out = batch.take(pa.array(who))
+            out = batch.select(carried).take(pa.array(who))
             yield pa.RecordBatch.from_arrays(
                 [*out.columns, pa.array(where.astype(np.int32)),
                  pa.array((cell[who] == where))],
-                names=[*batch.schema.names, "cell", "is_home"])
+                names=[*carried, "cell", "is_home"])
 
-    schema = f"{ID} {id_type}, copies long, {FEATURES} array<double>{target}"
-    visiting = rows.select(*carried).mapInArrow(visits, f"{schema}, cell int, is_home boolean")
+    visiting = placed.mapInArrow(visits, f"{schema}, cell int, is_home boolean")
     lefts, rights = [1] * k, [1] * k
     for r in visiting.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
                                           F.count_if("is_home").alias("h")).collect():

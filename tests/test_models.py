@@ -336,3 +336,21 @@ def test_reduction_with_many_partials(spark):
     got = {r["k"]: r["sums"] for r in blocks.add_up(df, ["k"], 1000, fan_in=4).collect()}
     assert got == {0: [2450.0, 50.0], 1: [2500.0, 50.0]}
     assert {k[0]: list(v) for k, v in blocks.gather_sums(df, ["k"], 20, 4).items()} == got
+
+
+def test_fits_refuse_missing_features_by_name(spark):
+    rows = [(i, float(i), float(i % 7), None if i == 5 else float(i % 3)) for i in range(40)]
+    m = matrix(spark.createDataFrame(rows, "id long, y double, a double, holed double"), ["a", "holed"])
+    for fit in (linear.fit_gram, linear.linear_svr, linear.huber_l1):
+        with pytest.raises(ValueError, match="holed"):
+            fit(m)
+
+
+def test_a_stopped_fit_says_so(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, float(rng.normal()), *map(float, rng.normal(size=3))) for i in range(60)]
+    m = matrix(spark.createDataFrame(rows, "id long, y double, a double, b double, c double"), ["a", "b", "c"])
+    fit = [linear.Fit((0, 1, 2))]
+    with pytest.warns(RuntimeWarning, match="stopped after 2 passes"):
+        stopped = linear.fit_reweighted(m, fit, linear.Loss("absolute"), max_passes=2)[0]
+    assert not stopped.converged and linear.linear_svr(m).converged
