@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from descry import ID
 from descry.functions.columns import TRANSFORMS, open_gates, product_parents, quoted
 from descry.operators.cleaning import float_columns, integer_columns, train_rows
 from descry.operators.profile import column_stats, distinct_beyond
@@ -51,6 +52,15 @@ def one_hot_integers(df: DataFrame, names: Sequence[str] | None = None,
     return df.select(*kept, *flags)
 
 
+def one_hot_long(df: DataFrame, names: Sequence[str] | None = None, key: str = ID) -> DataFrame:
+    """The ones of a one-hot encoding as (id, feature): sparse, so any number of levels will do,
+    and no level is gathered. A null belongs to no level."""
+    names = integer_columns(df) if names is None else list(names)
+    long = df.select(quoted(key), *[quoted(c).cast("bigint").alias(c) for c in names]).unpivot(
+        [quoted(key)], [quoted(c) for c in names], "column", "level").filter("level is not null")
+    return long.select(quoted(key), F.concat_ws("_", "column", F.col("level").cast("string")).alias("feature"))
+
+
 def column_ranges(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
     if not names:
         return {}

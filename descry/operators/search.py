@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from descry import FEATURES, ID, TARGET
 from descry.operators.linear import (FOLDS, Fit, Loss, _fold_matrix, fit_reweighted, fold_error,
                                      grams, linear_svr, solve_gram, train_matrix)
-from descry.operators.blocks import Matrix, array_at, dense, gather_sums, sums_batch, values_of
+from descry.operators.blocks import Matrix, add_up, array_at, dense, gather_sums, sums_batch, values_of
 from descry.operators.trees import subset
 from descry.session import cut_lineage, max_tasks
 
@@ -90,8 +90,9 @@ class RidgeScorer:
         self.names, self.alpha = m.names, alpha
         self.size = len(m.names) + 2
         found = cut_lineage(grams(train_matrix(m), repeats, n_splits))
-        zero = found.filter("repeat = 0").select("sums").collect()
-        total = np.sum([np.array(r["sums"]) for r in zero], axis=0)
+        # the folds of one repeat are all rows; they are added up by the cluster
+        first = found.filter("repeat = 0").select(F.lit(0).alias("key"), "sums")
+        total = np.array(add_up(first, ["key"], n_splits).first()["sums"])
 
         def complement(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for batch in batches:
@@ -245,11 +246,13 @@ def mixed_stepwise(scorer, groups: list[list[str]], iterations: int, start: set[
 
 
 def robust_runs(m: Matrix, scorer, groups: list[list[str]], runs: int, iterations: int,
-                seed: int = 0, c: float = 1.0, invert=None, **options) -> tuple[DataFrame, DataFrame]:
+                seed: int = 0, c: float = 1.0, invert=None, final=None, **options
+                ) -> tuple[DataFrame, DataFrame]:
     """Searches from random starts: (run_features, run_predictions), both long.
 
     Start sizes lie between 5 and half the columns. Predictions are for the rows without a
-    target; scores and predictions are in target units when given an inverse.
+    target; scores and predictions are in target units when given an inverse. ``final`` scores
+    the found set for the log; give the scorer of the stored model where the search used another.
     """
     spark = m.df.sparkSession
     rng = np.random.default_rng(seed)
@@ -262,7 +265,10 @@ def robust_runs(m: Matrix, scorer, groups: list[list[str]], runs: int, iteration
         found = mixed_stepwise(scorer, groups, iterations, start, seed=seed * 1000 + run, **options)
         picked = subset(m, found.features)
         model = linear_svr(picked, c)
-        rmse = found.score * sd
+        score = found.score
+        if final is not None:
+            score = final.scores({"": found.features}).first()["score"]
+        rmse = score * sd
         feature_rows += [(run, len(found.features), rmse, f, w)
                          for f, w in zip(model.names, model.coef, strict=True)]
         value = model.array_column(picked.names)

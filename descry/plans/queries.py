@@ -249,6 +249,13 @@ def one_hot_integers(spark, sf):
     return sums.unpivot(["n_rows"], names, "feature", "n_ones")
 
 
+@query("""
+SELECT o_orderkey AS id, 'o_custkey_' || o_custkey AS feature FROM orders WHERE o_custkey IS NOT NULL""")
+def one_hot_long(spark, sf):
+    orders = fx.table(spark, sf, "orders").withColumnRenamed("o_orderkey", ID)
+    return engineer.one_hot_long(orders, ["o_custkey"])
+
+
 SQL_TRANSFORMS = {
     "log": "round(ln({c}), 6)", "log2": "round(log2({c}), 6)", "log10": "round(log10({c}), 6)",
     "cubert": "round(cbrt({c}), 6)", "sqrt": "sqrt({c})", "exp": "round(exp({c}), 6)",
@@ -364,13 +371,14 @@ def join_inner(spark, sf):
 
 @query("""
 SELECT coalesce(a.id, b.id) AS id, a.n_open, b.n_done FROM
-  (SELECT o_custkey AS id, count(*) AS n_open FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) a
+  (SELECT o_custkey AS id, count(*) AS n_open FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) a
   FULL JOIN (SELECT o_custkey AS id, count(*) AS n_done FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) b
   ON a.id = b.id""")
 def join_full(spark, sf):
     orders = fx.table(spark, sf, "orders")
-    by = [orders.filter(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias(ID)).agg(
-        F.count(F.lit(1)).alias(n)) for s, n in (("O", "n_open"), ("F", "n_done"))]
+    done = F.col("o_orderstatus") == "F"
+    by = [orders.filter(kept).groupBy(F.col("o_custkey").alias(ID)).agg(F.count(F.lit(1)).alias(n))
+          for kept, n in ((~done, "n_open"), (done, "n_done"))]
     return clean.join_full(*by)
 
 
@@ -800,9 +808,10 @@ def linear_svr_squared(spark, sf):
 
 @query()
 def huber_l1(spark, sf):
-    m = _scaled(spark, sf).matrix()
+    p = _scaled(spark, sf)
+    m = trees.pca(p.df, p.names)
     kept = profile.feature_names(profile.select_k(trees.spread(m), m.names, 5))
-    return _coefficients(spark, linear.huber_l1(trees.subset(m, kept), alpha=0.01))
+    return _coefficients(spark, linear.huber_l1(trees.subset(m, kept)))
 
 
 @query()
@@ -812,6 +821,57 @@ def ridge_grid(spark, sf):
     return linear.ridge_grid(Matrix(held, tuple(p.names)), fx.FOLD_REPEATS, fx.FOLD_SPLITS)
 
 
+ONE = "avg_qty"
+#: Moments of one feature over the training rows, centred.
+MOMENTS = f"""moments AS (
+  SELECT count(*) AS n, avg({ONE}) AS mx, avg(y) AS my, covar_pop(y, {ONE}) AS sxy, var_pop({ONE}) AS sxx
+  FROM parts WHERE y IS NOT NULL)"""
+
+
+def _one(spark, sf) -> Matrix:
+    return matrix(_kept(_parts(spark, sf), [ONE]), [ONE])
+
+
+@query(f"""WITH {fx.PART_SQL}, {MOMENTS}, w AS (SELECT n * sxy / (n * sxx + 10) AS w, mx, my FROM moments)
+SELECT '{ONE}' AS feature, round(w, 6) AS coef FROM w UNION ALL SELECT '(intercept)', round(my - w * mx, 6) FROM w""")
+def ridge_one(spark, sf):
+    return rounded(_coefficients(spark, linear.fit_gram(_one(spark, sf), alpha=10.0)))
+
+
+@query(f"""WITH {fx.PART_SQL}, {MOMENTS},
+w AS (SELECT sign(sxy) * greatest(abs(sxy) - 0.5, 0) / sxx AS w, mx, my FROM moments)
+SELECT '{ONE}' AS feature, round(w, 6) AS coef FROM w UNION ALL SELECT '(intercept)', round(my - w * mx, 6) FROM w""")
+def lasso_one(spark, sf):
+    return rounded(_coefficients(spark, linear.fit_gram(_one(spark, sf), l1=0.5)))
+
+
+@query(f"""WITH {fx.PART_SQL}, {fx.fold_sql()},
+held AS (SELECT repeat, fold, y, {ONE} AS x FROM parts JOIN folds USING (id)),
+keys AS (SELECT DISTINCT repeat, fold FROM held), alphas AS (SELECT unnest([1.0, 2.0, 5.0, 10.0, 200.0])::DOUBLE AS alpha),
+fits AS (SELECT k.repeat, k.fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) AS sxy, var_pop(x) AS sxx
+         FROM keys k JOIN held h ON h.repeat = k.repeat AND h.fold <> k.fold GROUP BY 1, 2),
+w AS (SELECT repeat, fold, alpha, n * sxy / (n * sxx + alpha) AS w, mx, my FROM fits, alphas),
+s AS (SELECT w.alpha, h.repeat, h.fold, sqrt(avg(pow(y - my - w.w * (x - mx), 2))) AS rmse,
+             1 - avg(pow(y - my - w.w * (x - mx), 2)) / var_pop(y) AS r2
+      FROM w JOIN held h ON h.repeat = w.repeat AND h.fold = w.fold GROUP BY 1, 2, 3)
+SELECT alpha, round(avg(rmse), 6) AS rmse, round(avg(r2), 6) AS r2 FROM s GROUP BY alpha""")
+def ridge_grid_one(spark, sf):
+    m = _one(spark, sf)
+    held = folds.with_folds(m.df, _folds(_parts(spark, sf)))
+    return rounded(linear.ridge_grid(Matrix(held, m.names), fx.FOLD_REPEATS, fx.FOLD_SPLITS), only=["rmse", "r2"])
+
+
+@query(f"""WITH {fx.PART_SQL},
+z AS (SELECT id, (avg_qty - avg(avg_qty) OVER ()) / stddev_pop(avg_qty) OVER () AS a,
+             (avg_price - avg(avg_price) OVER ()) / stddev_pop(avg_price) OVER () AS b FROM parts),
+r AS (SELECT sign(corr(a, b)) AS s FROM z)
+SELECT id, round(abs(a + s * b) / sqrt(2), 6) AS first, round(abs(a - s * b) / sqrt(2), 6) AS second FROM z, r""")
+def pca_pair(spark, sf):
+    wide = trees.spread(trees.pca(_kept(_parts(spark, sf), ["avg_qty", "avg_price"]), ["avg_qty", "avg_price"]))
+    return rounded(wide.select(ID, F.abs("pc_1").alias("first"), F.abs("pc_2").alias("second")),
+                   only=["first", "second"])
+
+
 @query()
 def lasso(spark, sf):
     return _coefficients(spark, linear.fit_gram(_scaled(spark, sf).matrix(), l1=0.1))
@@ -822,7 +882,22 @@ def pca(spark, sf):
     return trees.spread(trees.pca(_kept(_parts(spark, sf), fx.PART_MODEL), fx.PART_MODEL))
 
 
-@query()
+GROUP_COLUMNS = ", ".join(f"({i}, '{c}')" for i, c in enumerate(WHOLE_TWIN))
+
+
+@query(f"""WITH RECURSIVE {fx.PART_SQL}, cols(i, feature) AS (VALUES {GROUP_COLUMNS}),
+edges AS (SELECT a.i AS a, b.i AS b FROM ({_corr_sql("parts", WHOLE_TWIN, "corr({a}, {b}) FILTER (y IS NOT NULL)")}) e
+          JOIN cols a ON a.feature = feature_a JOIN cols b ON b.feature = feature_b WHERE abs(r) > 0.91),
+before AS (SELECT i, coalesce(list(a) FILTER (a IS NOT NULL), []) AS firsts FROM cols LEFT JOIN edges ON b = i GROUP BY i),
+walk(i, leaders) AS (
+  SELECT 0, [0] UNION ALL
+  SELECT w.i + 1, CASE WHEN list_has_any(w.leaders, p.firsts) THEN w.leaders ELSE list_append(w.leaders, p.i) END
+  FROM walk w JOIN before p ON p.i = w.i + 1),
+leads AS (SELECT unnest(leaders) AS lead FROM walk WHERE i = (SELECT max(i) FROM walk)),
+members AS (SELECT lead, b AS i FROM leads JOIN edges ON a = lead UNION ALL SELECT lead, lead FROM leads)
+SELECT (dense_rank() OVER (ORDER BY lead) - 1)::INT AS group_id, feature,
+       (row_number() OVER (PARTITION BY lead ORDER BY m.i = lead, m.i) - 1)::INT AS position
+FROM members m JOIN cols ON cols.i = m.i""")
 def correlation_groups(spark, sf):
     df = _parts(spark, sf)
     edges = moments.correlation_edges(clean.train_rows(df), WHOLE_TWIN, 0.91)
@@ -854,7 +929,8 @@ def mixed_stepwise(spark, sf):
 def robust_runs(spark, sf):
     p, m, groups = _search_input(spark, sf)
     scorer = search.RidgeScorer(m, fx.FOLD_REPEATS, fx.FOLD_SPLITS)
-    _, predictions = search.robust_runs(m, scorer, groups, 2, 4, fx.SEED, invert=p.invert)
+    final = search.SvrScorer(m, fx.FOLD_REPEATS, fx.FOLD_SPLITS)
+    _, predictions = search.robust_runs(m, scorer, groups, 2, 4, fx.SEED, invert=p.invert, final=final)
     return run_ops.prediction_intervals(predictions)
 
 
