@@ -298,7 +298,7 @@ def placed(pieces: DataFrame, size: int, groups: tuple[int, ...]) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")
                              .rowsBetween(Window.unboundedPreceding, -1))
     heads = stored(heads.select("part", "length", "n", F.coalesce(before, F.lit(0)).alias("before")),
-                   "heads")
+                   "heads", pieces.count())
     counts = np.zeros(size + 1, np.int64)
     for length, n in heads.groupBy("length").agg(F.sum("n")).collect():  # at most ``size`` rows
         counts[length] = n

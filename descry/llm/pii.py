@@ -154,7 +154,7 @@ def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
                               & (s["end"] > F.col("x.start"))).alias("seed"))
              .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     able = graph.groupBy("pattern").agg(F.count_if("seed").alias("n")).filter(F.col("n") >= support)
-    graph = stored(graph.join(able.select("pattern"), "pattern"), "graph")
+    graph = stored(graph.join(able.select("pattern"), "pattern"), "graph", found.count())
     scores = graph.select("pattern", "instance", "seed", F.col("seed").cast("double").alias("score"))
     for _ in range(rounds):
         patterns = scores.groupBy("pattern").agg(F.avg("score").alias("trust"))
@@ -168,7 +168,7 @@ def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
 
 def discovered_spans(found: DataFrame, key: str) -> DataFrame | None:
     """(key, extra) of the documents in which identifiers are discovered; None if nowhere."""
-    new = stored(discovered(found), "discovered")
+    new = stored(discovered(found), "discovered", found.count())
     if new.isEmpty():
         return None
     return (found.select(key, "spans", F.explode("instances").alias("x"))

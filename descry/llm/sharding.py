@@ -35,18 +35,18 @@ def assigned(rows: DataFrame, limit: int) -> DataFrame:
     """(row, doc_id, shard, depth, shard_bytes, bytes) for stored (row, doc_id, bytes)."""
     key = F.coalesce(F.col(DOC).cast("string"), F.lit(""))
     rest = rows.withColumn("bits", _bits(key))
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    total, count = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     low, depth, out = 0, min(BITS, max(0, math.ceil(math.log2(max(total / limit, 1)))) + AHEAD), None
     while True:
         base = stored(rest.groupBy(F.substring("bits", 1, depth).alias("p"))
-                      .agg(F.sum("bytes").alias("b"), F.count("*").alias("n")), "buckets")
+                      .agg(F.sum("bytes").alias("b"), F.count("*").alias("n")), "buckets", count)
         levels = base.select("p", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("d")) \
             .select("p", "b", "n", "d", F.expr("substring(p, 1, d)").alias("prefix"))
         fits = (levels.groupBy("d", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("n"))
                 .filter((F.col("shard_bytes") <= limit) | (F.col("n") == 1) | (F.col("d") == 2 * BITS)))
         shards = (levels.select("p", "d", "prefix").join(fits.drop("n"), ["d", "prefix"])
                   .groupBy("p").agg(F.min(F.struct("d", "shard_bytes")).alias("leaf")))
-        shards = stored(shards.select("p", F.col("leaf.d").alias("depth"), "leaf.shard_bytes"), "directory")
+        shards = stored(shards.select("p", F.col("leaf.d").alias("depth"), "leaf.shard_bytes"), "directory", count)
         placed = (rest.withColumn("p", F.substring("bits", 1, depth)).join(shards, "p")
                   .select("row", DOC, F.expr("substring(bits, 1, depth)").alias("shard"), "depth",
                           "shard_bytes", "bytes"))
