@@ -17,23 +17,24 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-CHUNKS = 250_000  # chunks of one generation that a task remembers
+CHUNKS = 350_000  # chunks of one generation that a task remembers
 #: The code points of Unicode's White_Space property, as the byte-level pattern has them.
-SPACE = ("\t\n\x0b\x0c\r \x85\xa0           "
-         "     　")
+SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+         "\u2028\u2029\u202f\u205f\u3000")
 #: Letters without accents of their own, and marks that no pattern joins with letters.
 PLAIN_LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,!?;:*%&$#|"
 #: A space belongs to the word after it; of other white space the last character stands alone before a word.
 BYTE_LEVEL = re.compile(
     f" ?[{PLAIN_LETTERS}]++(?=[{SPACE}{MARKS}]|$)|[{MARKS}]++(?=[{SPACE}]|$)"
     f"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-WORDS = re.compile(f"[^{SPACE}]+")
-ODD = "\x1c\x1d\x1e\x1f"  # white space to Python alone
+WORD_LEVEL = re.compile(f"[{PLAIN_LETTERS}]++(?=[{SPACE}{MARKS}]|$)|[{MARKS}]++(?=[{SPACE}]|$)|[^{SPACE}]+")
+ODD_CASE = "Σİ"  # letters that Python lowers by their place or into two, the tokenizer does not
 
 
 def word_chunks(text: str) -> list[str]:
-    """Chunks for tokenizers that drop white space."""
-    return WORDS.findall(text) if any(c in text for c in ODD) else text.split()
+    """Chunks for tokenizers that lower the case and drop white space."""
+    return WORD_LEVEL.findall(text if any(c in text for c in ODD_CASE) else text.lower())
+
 
 #: Letters, then marks: two pre-tokens for either kind of pattern.
 PLAIN = re.compile(f"( ?[{PLAIN_LETTERS}]+)([{MARKS}]*)")
