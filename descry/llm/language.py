@@ -230,7 +230,7 @@ def identify(docs: DataFrame, parts: int = 4, held: int = 2, sample: int = SAMPL
     return made.select(DOC, fold.alias("held_out"), "lang_pred", "score")
 
 
-def in_a_language(docs: DataFrame, least: float = 0.35, parts: int = 4, held: int = 2,
+def in_a_language(docs: DataFrame, least: float = 0.3, parts: int = 4, held: int = 2,
                   sample: int = SAMPLE) -> DataFrame:
     """``docs`` without those whose language is undetermined or has a score below ``least``."""
     model = fit_language(exactly(docs, DOC, TEXT, "lang").filter(fold_of(DOC, parts) != held), sample)
