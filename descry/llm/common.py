@@ -52,6 +52,12 @@ def fold_of(key: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % parts, F.lit(0))
 
 
+def place_of(*columns: str) -> Column:
+    """A place in [0, 1) for every row, by hash; even rows that repeat all columns differ."""
+    row = F.xxhash64(*columns, F.monotonically_increasing_id())
+    return F.pmod(row, F.lit(1_000_003)) / 1_000_003
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the texts of a piece stay near ``limit`` bytes."""
     sizes = np.array([0 if v is None else v for v in

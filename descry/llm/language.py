@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from descry.llm.common import DOC, TEXT, append_columns, exactly, fold_of, slices
+from descry.llm.common import DOC, TEXT, append_columns, exactly, fold_of, place_of, slices
 
 BUCKETS = 1 << 16
 GRAMS = 3
@@ -110,14 +110,13 @@ def labelled_sample(docs: DataFrame, sizes: dict[str, int], sample: int
                     ) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, features, counts) of about ``sample`` documents of each language.
 
-    A document is taken by the hash of its text and id, so the choice does not depend on
-    partitions; every taken document is used whole.
+    A document is taken by a hash, so that the sample stays near its bound even where rows
+    repeat; every taken document is used whole.
     """
     cases = F.lit(0.0)
     for lang, n in sizes.items():
         cases = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(cases)
-    place = F.pmod(F.xxhash64(DOC, TEXT), F.lit(1_000_003)) / 1_000_003
-    taken = docs.filter(place < cases)
+    taken = docs.withColumn("place", place_of(DOC, TEXT)).filter(F.col("place") < cases)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +126,7 @@ def labelled_sample(docs: DataFrame, sizes: dict[str, int], sample: int
                  pa.array([c.astype("<u4").tobytes() for _, c in made], pa.binary()),
                  batch.column("place")], names=["lang", "at", "n", "place"])
 
-    rows = (taken.select(TEXT, "lang", place.alias("place"))
+    rows = (taken.select(TEXT, "lang", "place")
             .mapInArrow(features, "lang string, at binary, n binary, place double").collect())
     rows.sort(key=lambda r: (r["place"], r["lang"], bytes(r["at"])))
     return [(r["lang"], np.frombuffer(r["at"], "<u4"), np.frombuffer(r["n"], "<u4")) for r in rows]

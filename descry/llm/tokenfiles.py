@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.llm.common import DOC, TEXT, exactly, slices
+from descry.llm.common import DOC, TEXT, exactly, place_of, slices
 from descry.llm.encoding import encoder, end_mark, tokenizer_path
 from descry.session import checkpoint_dir
 
@@ -66,13 +66,14 @@ class Codec:
 
 
 def trained(docs: DataFrame, path: str, byte_level: bool, end: int) -> Codec:
-    """A dictionary from the ``SAMPLE`` texts of least hash among those up to ``SAMPLE_BYTES``.
+    """A dictionary from about ``SAMPLE`` of the texts up to ``SAMPLE_BYTES``, taken by hash.
 
     The sample is bounded and used whole; without enough of it there is no dictionary, and
     frames stand alone.
     """
     texts = exactly(docs, TEXT).filter(F.octet_length(TEXT).between(1, SAMPLE_BYTES))
-    rows = texts.orderBy(F.xxhash64(TEXT), TEXT).limit(SAMPLE).collect()
+    share = SAMPLE / max(texts.count(), 1)
+    rows = texts.withColumn("place", place_of(TEXT)).filter(F.col("place") < share).select(TEXT).collect()
     known, mark = encoder(path, byte_level), end_mark(end)
     width = 2 if max(known.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
     codec = Codec(b"", width)

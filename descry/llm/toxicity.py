@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from descry.llm.common import DOC, TEXT, append_columns, exactly, fold_of
+from descry.llm.common import DOC, TEXT, append_columns, exactly, fold_of, place_of, stored
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -82,24 +82,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, sample_byte
                     ) -> list[tuple[str, int]]:
     """(text, toxic) of about ``sample`` labelled documents, at most about ``sample_bytes``.
 
-    The labels are counted and sampled by the hash of their id before they meet a text, so the
-    side that is broadcast has about ``sample`` rows and no text is shuffled; if the texts turn
-    out too long, fewer documents are taken. Documents are taken whole. A document that has
-    several labels counts with each; null labels and texts teach nothing.
+    The labels are counted and sampled by hash before they meet a text, so the side that is
+    broadcast has about ``sample`` rows and no text is shuffled; if the texts turn out too long
+    or too many, fewer rows are taken. Documents are taken whole. A document that has several
+    labels counts with each; null labels and texts teach nothing.
     """
     known = exactly(labels, DOC, "toxic").filter(f"{DOC} is not null and toxic is not null")
-    place = F.pmod(F.xxhash64(F.col(DOC).cast("long")), F.lit(1_000_003)) / 1_000_003
-    share = min(1.0, sample / max(known.count(), 1))
-    texts = exactly(docs, DOC, TEXT).filter(f"{TEXT} is not null")
-
-    def taken(share: float) -> DataFrame:
-        return texts.filter(place <= share).join(F.broadcast(known.filter(place <= share)), DOC)
-
-    n, size = taken(share).agg(F.count("*"), F.sum(F.octet_length(TEXT))).first()
+    share = sample / max(known.count(), 1)
+    some = stored(known.withColumn("place", place_of(DOC)).filter(F.col("place") < share).drop("place"),
+                  "sample", 2 * sample)
+    texts = exactly(docs, DOC, TEXT).filter(f"{TEXT} is not null").join(F.broadcast(some), DOC)
+    n, size = texts.agg(F.count("*"), F.sum(F.octet_length(TEXT))).first()
     if not n:
         return []
-    share *= min(1.0, sample_bytes / max(size or 1, 1))
-    rows = taken(share).select(TEXT, F.col("toxic").cast("int")).collect()
+    share = min(1.0, 2 * sample / n, sample_bytes / max(size or 1, 1))
+    rows = (texts.withColumn("place", place_of(DOC, TEXT)).filter(F.col("place") < share)
+            .select(TEXT, F.col("toxic").cast("int")).collect())
     return sorted((r[0], int(r[1] > 0)) for r in rows)
 
 
