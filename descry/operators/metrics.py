@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from descry.operators.ordered import ROWS_PER_TASK, running_sums
 
 FOLD = ("model", "repeat", "fold")
+# The names of the scores in the output.
 METRICS = ("r2_score", "explained_variance", "mean_sq_error", "root_mean_sq_error",
            "mean_absolute_error", "median_absolute_error")
 LOG_LOSS_EPS = 1e-15  # fixed value: predicted probabilities are clipped to [eps, 1 - eps]
