@@ -134,6 +134,44 @@ def test_edited_passages_are_found(spark):
     assert {r["doc_id"] for r in got} == set(range(20)) and {r["class_id"] for r in got} == {0}
 
 
+def plain_segments(x, y, width, share):
+    if len(x) < width:
+        return []
+    runs = []
+    for s in range(len(x)):
+        for e in range(s + width, len(x) + 1):
+            a, b = set(x[s:e].tolist()), set(y[s:e].tolist())
+            ends = (x[s] in b or y[s] in a) and (x[e - 1] in b or y[e - 1] in a)
+            if ends and len(a & b) / len(a | b) >= share:
+                runs.append((e - s, -abs(s + e - len(x)), -s, len(a & b) / len(a | b)))
+    if not runs:
+        return []
+    n, _, s, similarity = max(runs)
+    s, e = -s, n - s
+    return ([(s, e - 1, similarity)] + plain_segments(x[:s], y[:s], width, share)
+            + [(a + e, b + e, c) for a, b, c in plain_segments(x[e:], y[e:], width, share)])
+
+
+@pytest.mark.parametrize("n, edits, whole", [
+    (50, [25], False), (51, [0], True), (60, [30], True), (88, [44], True), (60, [20, 40], False),
+    (149, [49, 99], True), (110, [10, 14, 60, 90], False), (120, [55, 56, 57], True)])
+def test_edited_passages_are_verified_like_brute_force(n, edits, whole):
+    rng = random.Random(n)
+    text = [f"u{i}" for i in range(n)]
+    other = [f"edit{i}" if i in edits else w for i, w in enumerate(text)]
+    known = substrings.WordHashes()
+    ids = lambda w: (substrings.shingle_ids(w, known, 5) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    got = sorted(substrings.segments(ids(text), ids(other), 46, 0.8))
+    assert got == sorted(plain_segments(ids(text), ids(other), 46, 0.8))
+    if whole:
+        assert got and sum(e - s + 1 for s, e, _ in got) >= n - 4 - 5
+    few = lambda: np.array([rng.randrange(12) for _ in range(50)])  # noqa: E731 repeats, shifted parts
+    for _ in range(6):
+        x = few()
+        y = np.where(np.array([rng.random() < 0.2 for _ in range(50)]), few() + 6, np.roll(x, rng.randrange(3)))
+        assert sorted(substrings.segments(x, y, 20, 0.8)) == sorted(plain_segments(x, y, 20, 0.8))
+
+
 def test_compact_windows_meet_on_every_shared_passage():
     rng = np.random.default_rng(5)
     inner = rng.integers(0, 2 ** 63, 46, dtype=np.uint64)
