@@ -172,6 +172,25 @@ def test_edited_passages_are_verified_like_brute_force(n, edits, whole):
         assert sorted(substrings.segments(x, y, 20, 0.8)) == sorted(plain_segments(x, y, 20, 0.8))
 
 
+def test_copies_are_found_beside_a_representative_with_a_part(spark):
+    rng = random.Random(8)
+    pool = lambda n: words(rng, n, 90_000)
+    node = lambda i, t: spark.range(1).select(F.xxhash64(F.lit(i).cast("long"), F.lit(t))).first()[0]
+    rows, pairs = [], []
+    for n in range(0, 60, 3):
+        passage = pool(50)
+        rows += [(n, " ".join(pool(30) + passage + pool(30))), (n + 1, " ".join(pool(20) + passage + pool(9)))]
+        part, at = passage[:45], n + 2  # the part is to be the representative: it has the smallest node
+        least = min(node(*r) for r in rows[-2:])
+        while node(at, text := " ".join(pool(40) + part + pool(40))) > least:
+            pass
+        rows.append((at, text))
+        pairs.append({n, n + 1})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [{r["doc_id"], r["other_id"]} for r in substrings.duplicate_passages(docs).collect()]
+    assert all(p in got for p in pairs) and all(g in pairs for g in got)
+
+
 def test_compact_windows_meet_on_every_shared_passage():
     rng = np.random.default_rng(5)
     inner = rng.integers(0, 2 ** 63, 46, dtype=np.uint64)
