@@ -6,9 +6,10 @@ Spark gives matches and gaps but no offsets; offsets are running sums of the len
 The bootstrapped part looks at identifiers: words with a digit or an at sign. Its seeds are
 the identifiers that a base span covers. The two words before an identifier are its lexical
 pattern. Pattern and instance form a bipartite graph, aggregated over the whole corpus before
-it is scored: a pattern's score is the mean score of its distinct instances, an instance's is
-the greatest of its patterns; seeds stay at one. A pattern that has enough distinct seeds and
-a high score discovers the other identifiers that follow it. They get the kind ``id``.
+it is scored: a pattern's score is the share of its distinct instances that are seeds or that
+other patterns have discovered. A pattern with enough of these and a high score discovers all
+identifiers that follow it; they get the kind ``id`` there, and count for other patterns in the
+next round. Rounds go on until nothing is added. No pattern counts what it discovers itself.
 
 Everything is DataFrame expressions; only documents with candidates are taken apart.
 """
@@ -36,8 +37,7 @@ PATTERNS = {
 #: What a text must hold for the pattern to match at all.
 NEEDS = {"email": "[@]", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 IDENTIFIER = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S{6,64}(?!\S)"
-ROUNDS = 3
-SUPPORT = 5  # distinct seeds of a pattern
+SUPPORT = 5  # distinct seeds and discovered instances of a pattern
 CONFIDENCE = 0.8
 
 
@@ -145,30 +145,40 @@ def located(docs: DataFrame, key: str = DOC) -> DataFrame:
                                _instances(F.coalesce(TEXT, F.lit(""))).alias("instances")), "spans")
 
 
-def discovered(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
-               confidence: float = CONFIDENCE) -> DataFrame:
+def instances_in(found: DataFrame) -> int:
+    """How many identifiers all texts hold: a bound of the rows of their graph."""
+    return found.agg(F.sum(F.size("instances"))).first()[0] or 0
+
+
+def discovered(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(pattern, instance): identifiers that confident patterns discover, seeds left out."""
-    graph = (found.select("spans", F.explode("instances").alias("x"))
+    rows = instances_in(found)
+    edges = (found.select("spans", F.explode("instances").alias("x"))
              .select(F.col("x.pattern").alias("pattern"), F.col("x.instance").alias("instance"),
                      F.exists("spans", lambda s: (s["start"] < F.col("x.end"))
                               & (s["end"] > F.col("x.start"))).alias("seed"))
              .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    able = graph.groupBy("pattern").agg(F.count_if("seed").alias("n")).filter(F.col("n") >= support)
-    graph = stored(graph.join(able.select("pattern"), "pattern"), "graph", found.count())
-    scores = graph.select("pattern", "instance", "seed", F.col("seed").cast("double").alias("score"))
-    for _ in range(rounds):
-        patterns = scores.groupBy("pattern").agg(F.avg("score").alias("trust"))
-        best = (graph.join(patterns, "pattern").groupBy("instance")
-                .agg(F.greatest(F.max(F.col("seed").cast("double")), F.max("trust")).alias("score")))
-        scores = graph.join(patterns, "pattern").join(best, "instance").select(
-            "pattern", "instance", "seed", "score", "trust")
-    return scores.filter(~F.col("seed") & (F.col("trust") >= confidence)
-                         & (F.col("score") >= confidence)).select("pattern", "instance")
+    edges = stored(edges, "edges", rows)
+    # Other patterns can never have the support, or have nothing to discover.
+    able = (edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(~F.col("seed")).alias("open"))
+            .filter((F.col("n") >= support) & (F.col("open") > 0)).select("pattern"))
+    seeds = edges.filter("seed").select("instance").distinct().withColumn("new", F.lit(True))
+    known = lambda graph, new: graph.join(new, "instance", "left").withColumn(
+        "known", F.col("known") | F.coalesce("new", F.lit(False))).drop("new")
+    graph = stored(known(edges.join(able, "pattern").withColumn("known", F.lit(False)), seeds), "graph", rows)
+    while True:
+        trusted = (graph.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("known").alias("k"))
+                   .filter((F.col("k") >= support) & (F.col("k") >= confidence * F.col("n"))).select("pattern"))
+        new = stored(graph.filter("not known").join(trusted, "pattern").select("instance").distinct()
+                     .withColumn("new", F.lit(True)), "accepted", rows)
+        if new.isEmpty():
+            return graph.filter("not seed").join(trusted, "pattern").select("pattern", "instance")
+        graph = stored(known(graph, new), "graph", rows)
 
 
 def discovered_spans(found: DataFrame, key: str) -> DataFrame | None:
     """(key, extra) of the documents in which identifiers are discovered; None if nowhere."""
-    new = stored(discovered(found), "discovered", found.count())
+    new = stored(discovered(found), "discovered", instances_in(found))
     if new.isEmpty():
         return None
     return (found.select(key, "spans", F.explode("instances").alias("x"))

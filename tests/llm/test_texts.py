@@ -182,6 +182,18 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[20] == "id:15:24" and got[21] == "" and got[22] == "" and got[0].startswith("email:")
 
 
+def discovered_ids(spark, lines):
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return {lines[r["doc_id"]] for r in pii.personal_data(docs).collect() if "id:" in r["spans"]}
+
+
+def test_discovered_identifiers_induce_patterns(spark):
+    handles = [f"user#{i}471" for i in range(6)]
+    lines = [f"then reach me mail{i}@example.com" for i in range(24)] + [f"then reach me {h}" for h in handles]
+    lines += [f"the handle is {h}" for h in handles] + ["the handle is other#99", "the order was 4711abc"]
+    assert discovered_ids(spark, lines) == {x for x in lines if "#" in x}
+
+
 def test_personal_data_of_odd_rows(odd):
     got = pii.personal_data(odd).collect()
     assert len(got) == len(ODD) and all(r["spans"] == "" for r in got)
