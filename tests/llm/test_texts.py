@@ -194,6 +194,12 @@ def test_discovered_identifiers_induce_patterns(spark):
     assert discovered_ids(spark, lines) == {x for x in lines if "#" in x}
 
 
+@pytest.mark.parametrize("seeds", [9, 10, 15])
+def test_a_pattern_does_not_feed_its_own_trust(spark, seeds):
+    lines = [f"then reach me mail{i}@example.com" for i in range(seeds)]
+    assert discovered_ids(spark, lines + [f"then reach me order{i}" for i in range(20 - seeds)]) == set()
+
+
 def test_personal_data_of_odd_rows(odd):
     got = pii.personal_data(odd).collect()
     assert len(got) == len(ODD) and all(r["spans"] == "" for r in got)
