@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from descry.llm import (contamination, language, packing, pii, sharding, simhash, tokenfiles,
-                        substrings, topk, toxicity)
+from descry.llm import (alignment, contamination, language, mixing, packing, pii, sharding, simhash,
+                        tokenfiles, substrings, topk, toxicity, whitening)
 from descry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,18 @@ def op8_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.duplicate_passages(table(spark, sf, "documents"))
+
+
+@query()
+def op11_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query()
+def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf, "documents"))
