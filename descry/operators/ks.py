@@ -41,16 +41,23 @@ def ks_two_sample(df: DataFrame, names: Sequence[str],
         F.col(TARGET).isNull().alias("is_test"),
         *[quoted(c).cast("double").alias(c) for c in names],
     ).unpivot(["is_test"], [quoted(c) for c in names], "feature", "value")
+    totals = df.sparkSession.createDataFrame(
+        [(c, a, b) for c, (a, b) in sizes.items()], "feature string, n_test long, n_train long"
+    )
+    return ks_of_long(long, totals, n_rows, rows_per_task)
+
+
+def ks_of_long(long: DataFrame, totals: DataFrame, n_rows: int,
+               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The statistic from values in long form (is_test, feature, value) and the side sizes
+    (feature, n_test, n_train); ``n_rows`` bounds the values of one feature."""
     counts = (
         long.filter(F.col("value").isNotNull())
         .groupBy("feature", "value")
         .agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train"))
     )
     summed = running_sums(counts, ["feature"], "value", ["test", "train"], n_rows, rows_per_task)
-    totals = df.sparkSession.createDataFrame(
-        [(c, a, b) for c, (a, b) in sizes.items()], "feature string, n_test long, n_train long"
-    )
-    # one row per column name: bounded by the number of columns in this call
+    # one row per feature: bounded by the number of features in this call
     gap = F.abs(F.try_divide(F.col("cum_test"), F.col("n_test"))
                 - F.try_divide(F.col("cum_train"), F.col("n_train")))
     out = (
@@ -93,4 +100,4 @@ def ks_names(df: DataFrame, names: Sequence[str], alpha: float = 0.10) -> list[s
     return [n for n in names if n in kept]
 
 
-__all__ = ["ks_filter", "ks_names", "ks_two_sample", "screened_profile"]
+__all__ = ["ks_filter", "ks_names", "ks_of_long", "ks_two_sample", "screened_profile"]

@@ -180,9 +180,21 @@ def interaction_screen(df: DataFrame, names: Sequence[str], alpha: float | None
         raise ValueError("mode: univariate or partial; screen_on: raw or scaled")
     train = df.filter(F.col(TARGET).isNotNull())
     n, mean, sd, varies = location_scale(train, [*names, TARGET])
+    return screen_products(matrix(train, names), n, mean, sd, varies, alpha, mode, screen_on, fan_in)
+
+
+def screen_products(m: Matrix, n: int, mean: np.ndarray, sd: np.ndarray, varies: np.ndarray,
+                    alpha: float | None = 0.01, mode: str = "univariate", screen_on: str = "raw",
+                    fan_in: int = FAN_IN) -> DataFrame:
+    """The product screen over rows with a target that are already one array column.
+
+    ``mean``, ``sd`` (population, a zero as 1) and ``varies`` hold the features, then the
+    target, over those ``n`` rows.
+    """
+    if mode not in ("univariate", "partial") or screen_on not in ("raw", "scaled"):
+        raise ValueError("mode: univariate or partial; screen_on: raw or scaled")
     y_mean, y_sd = mean[-1], sd[-1]
     mean, sd = mean[:-1], sd[:-1]
-    m = matrix(train, names)
 
     def stats(a, b, y):
         t = (y - y_mean) / y_sd

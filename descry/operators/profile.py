@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from descry import TARGET
+from descry import FEATURES, TARGET
 from descry.functions.columns import finite, quoted
 from descry.operators.blocks import BLOCK, add_up, dense, matrix, sums_batch
 from descry.operators.cleaning import train_rows
@@ -26,9 +26,9 @@ def _merge(block: np.ndarray) -> np.ndarray:
     return np.concatenate([n, rows, low, high, mean, squares])
 
 
-def _batch_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def _batch_stats(df: DataFrame, names: Sequence[str], packed: bool = False) -> DataFrame:
     """The figures of all columns: one numpy pass over batches, merged per block. Null, NaN and
-    infinite values are missing alike."""
+    infinite values are missing alike. ``packed``: ``df`` holds them as its ``features`` array."""
     width = len(names)
     cuts = [slice(s, min(s + BLOCK, width)) for s in range(0, width, BLOCK)]
     tasks = max_tasks(df.sparkSession)
@@ -52,7 +52,7 @@ def _batch_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
         if total is not None:
             yield sums_batch({"block": list(range(len(cuts)))}, [total[:, c] for c in cuts])
 
-    rows = matrix(df, names, keep=()).df.coalesce(tasks)
+    rows = (df.select(FEATURES) if packed else matrix(df, names, keep=()).df).coalesce(tasks)
     parts = rows.mapInArrow(run, "block int, sums array<double>")
     merged = add_up(parts, ["block"], tasks, combine=_merge)
     labels = np.array(list(names), dtype=object)
@@ -77,6 +77,12 @@ def _batch_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
                                      "high double, mean double, var_pop double")
 
 
+def array_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``column_stats`` of the positions of the ``features`` array, named by ``names``."""
+    stats = _batch_stats(df, names, packed=True)
+    return stats.withColumn("sd", F.sqrt(F.try_divide(F.col("var_pop") * F.col("n"), F.col("n") - 1)))
+
+
 def column_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row per column: counts, range, mean, population variance, sample sd.
 

@@ -14,7 +14,7 @@ from descry.functions.columns import (GATES, finite, label_below, product_name,
 from descry.operators import cleaning as clean
 from descry.operators import engineer, folds, ks, linear, metrics, moments, profile
 from descry.operators import runs as run_ops
-from descry.operators import scaling, search, similarity, spanning, trees
+from descry.operators import scaling, search, similarity, spanning, trees, wide
 from descry.operators.blocks import Matrix, matrix
 from descry.plans import fixtures as fx
 from descry.plans import models, recipes, validate
@@ -979,3 +979,93 @@ def leaderboard(spark, sf):
     specs = [models.model("template"), models.model("best_svr", ["avg_qty", "avg_qty*avg_disc"]),
              models.model("linear_reg")]
     return validate.leaderboard(df, specs, fx.FOLD_CUT, fx.FOLD_SPLITS, 2)[0]
+
+
+# --- profiles in array form (D4, D5) ----------------------------------------------------
+
+DISCRETE = ("p_size", "n_lines")  # the integer columns of the part table
+WIDE_RAW = " UNION ALL ".join(
+    f"SELECT id, y, '{c}' AS feature, {k} AS k, "
+    f"CASE WHEN isnan({c}::DOUBLE) OR isinf({c}::DOUBLE) THEN NULL ELSE {c}::DOUBLE END AS value, "
+    f"{str(c in DISCRETE).upper()} AS discrete FROM parts" for k, c in enumerate(fx.PART_NUMERIC))
+WIDE_CLEAN = f"""{fx.PART_SQL},
+raw AS ({WIDE_RAW}),
+vary AS (SELECT feature FROM raw GROUP BY feature HAVING stddev_samp(value) > 0 AND count(value) = count(*)),
+kept AS (SELECT r.* FROM raw r JOIN vary USING (feature)),
+levels AS (SELECT DISTINCT feature, value AS level FROM kept WHERE discrete AND value IS NOT NULL),
+clean AS (
+  SELECT id, y, feature, k, value FROM kept WHERE NOT discrete
+  UNION ALL
+  SELECT c.id, c.y, c.feature || '_' || l.level::BIGINT, 1000 + c.k, CASE WHEN c.value = l.level THEN 1.0 ELSE 0.0 END
+  FROM kept c JOIN levels l ON c.feature = l.feature)"""
+WIDE_SUMS = """scale AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM made WHERE y IS NOT NULL GROUP BY feature)
+SELECT feature, count(value) AS n, round(sum((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END), 6) AS total
+FROM made JOIN scale USING (feature) GROUP BY feature"""
+#: The gates of the transforms and their SQL, as in ``GATES``.
+WIDE_GATES = {"log": ("lo > 0", "ln(value)"), "log2": ("lo > 0", "log2(value)"), "log10": ("lo > 0", "log10(value)"),
+              "cubert": ("lo > 0", "cbrt(value)"), "sqrt": ("lo > 0", "sqrt(value)"), "exp": ("hi < 13", "exp(value)"),
+              "exp2": ("hi < 20", "power(2.0::DOUBLE, value)"), "cube": ("hi < 100", "value * value * value"),
+              "sq": ("hi < 1000", "value * value")}
+WIDE_MADE = " UNION ALL ".join(
+    f"SELECT id, y, feature || '_{s}' AS feature, {expr} AS value FROM kept JOIN gates USING (feature) "
+    f"WHERE NOT discrete AND {gate}" for s, (gate, expr) in WIDE_GATES.items())
+
+
+@query(f"""WITH {WIDE_CLEAN},
+gates AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM kept WHERE NOT discrete GROUP BY feature),
+made AS (SELECT id, y, feature, value FROM clean UNION ALL {WIDE_MADE}),
+{WIDE_SUMS}""")
+def wide_non_linear(spark, sf):
+    """Profile ``non_linear`` in array form: per prepared feature, its values and their sum."""
+    return rounded(wide.feature_sums(wide.non_linear(_parts(spark, sf))))
+
+
+#: Fixed value: the normal quantile at 0.995, for the two-sided 1% F test of the products.
+Z_995 = 2.5758293035489004
+# t quantile by the Cornish-Fisher expansion in 1/nu (Abramowitz and Stegun 26.7.5)
+T_CRIT = ("(z + (z^3 + z) / (4 * nu) + (5 * z^5 + 16 * z^3 + 3 * z) / (96 * nu^2)"
+          " + (3 * z^7 + 19 * z^5 + 17 * z^3 - 15 * z) / (384 * nu^3)"
+          " + (79 * z^9 + 776 * z^7 + 1482 * z^5 - 1920 * z^3 - 945 * z) / (92160 * nu^4))")
+
+
+@query(f"""WITH {WIDE_CLEAN},
+vary2 AS (SELECT feature FROM clean GROUP BY feature HAVING stddev_samp(value) > 0 AND count(value) = count(*)),
+many AS (SELECT feature FROM clean JOIN vary2 USING (feature) GROUP BY feature HAVING count(DISTINCT value) > 3),
+long AS (SELECT c.id, c.y, c.y IS NULL AS is_test, c.feature, c.k, c.value FROM clean c JOIN many USING (feature)),
+vals AS (
+  SELECT feature, value, count(*) FILTER (is_test) AS a, count(*) FILTER (NOT is_test) AS b
+  FROM long WHERE value IS NOT NULL GROUP BY feature, value),
+cum AS (
+  SELECT feature, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER t AS na, sum(b) OVER t AS nb
+  FROM vals WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING),
+                   t AS (PARTITION BY feature)),
+gap AS (
+  SELECT feature, max(na)::BIGINT AS n_test, max(nb)::BIGINT AS n_train,
+         max(abs(ca::DOUBLE / na - cb::DOUBLE / nb)) AS d
+  FROM cum GROUP BY feature),
+ks AS (
+  SELECT *, (sqrt(n_test::DOUBLE * n_train / (n_test + n_train)) + 0.12
+             + 0.11 / sqrt(n_test::DOUBLE * n_train / (n_test + n_train))) * d AS lam FROM gap),
+ksp AS (
+  SELECT feature, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0,
+           list_sum(list_transform(range(1, 21), lambda j:
+             (CASE WHEN j % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END)
+             * exp(-2.0::DOUBLE * j * j * lam * lam))))) END AS p_value
+  FROM ks),
+base AS (SELECT l.id, l.y, l.feature, l.k, l.value FROM long l JOIN ksp USING (feature) WHERE p_value > 0.10),
+st AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM base WHERE y IS NOT NULL GROUP BY feature),
+z AS (SELECT b.id, b.y, b.feature, b.k, (b.value - st.m) / CASE WHEN st.s = 0 THEN 1 ELSE st.s END AS v
+      FROM base b JOIN st USING (feature) WHERE b.y IS NOT NULL),
+pairs AS (SELECT a.feature AS fa, b.feature AS fb, count(*) AS n, corr(a.v * b.v, a.y) AS r
+          FROM z a JOIN z b ON a.id = b.id AND a.k < b.k GROUP BY a.feature, b.feature),
+screened AS (SELECT fa, fb FROM (SELECT *, {Z_995}::DOUBLE AS z, (n - 2)::DOUBLE AS nu FROM pairs)
+             WHERE r IS NOT NULL AND NOT isnan(r) AND r * r / (1 - r * r) * nu > power({T_CRIT}, 2)),
+made AS (
+  SELECT id, y, feature, value FROM base
+  UNION ALL
+  SELECT a.id, a.y, s.fa || '*' || s.fb, a.value * b.value
+  FROM screened s JOIN base a ON a.feature = s.fa JOIN base b ON b.feature = s.fb AND a.id = b.id),
+{WIDE_SUMS}""")
+def wide_ks_filtered(spark, sf):
+    """Profile ``ks_filtered`` in array form: per prepared feature, its values and their sum."""
+    return rounded(wide.feature_sums(wide.ks_filtered(_parts(spark, sf))))
