@@ -28,6 +28,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from descry.llm.common import DOC, TEXT, exactly, slices, stored
-from descry.llm.encoding import LETTERS, tokenizer_path
+from descry.llm.encoding import LETTERS, encoder, tokenizer_path
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 B_RANGE = 1 << 20  # a pair is a * B_RANGE + b
@@ -57,6 +58,7 @@ class Tokenizers:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.chunks = encoder(a_path, True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte_of = {letter: i for i, letter in enumerate(LETTERS)}
         vocab = self.a.get_vocab()
@@ -68,6 +70,8 @@ class Tokenizers:
                 self.a_bytes[i] = token.encode()
         self.b_bytes = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
         self.a_len = np.array([len(v) for v in self.a_bytes], dtype=np.int64)
+        self.a_text = [str(i) for i in range(len(self.a_bytes))]
+        self.b_text = [str(i) for i in range(len(self.b_bytes))]
         self.b_len = np.array([len(v) for v in self.b_bytes], dtype=np.int64)
 
     def piece_bytes(self, i: int) -> bytes:
@@ -78,8 +82,10 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
+        """A's ids by the chunk-remembering encoder (the tokenizer's own ids, see
+        ``encoding``), B's by sentencepiece."""
+        a = [np.frombuffer(self.chunks.ids(" " + t), dtype="<u4") for t in texts]
         return a, self.b.encode(texts, num_threads=1)
 
 
@@ -89,35 +95,49 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 
 EMPTY = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+SEPARATORS = (",", "|", ",", "", "", ";")  # by code: A inside, A last, B inside, B very last, -, B last
 
 
-def align(tok: Tokenizers, text: str | None, a_ids: list[int], b_ids: list[int]):
+def picked(values, keys) -> tuple:
+    """values[k] for every k, at C speed."""
+    return (values[keys[0]],) if len(keys) == 1 else itemgetter(*keys)(values)
+
+
+def align(tok: Tokenizers, text: str | None, a_ids: np.ndarray, b_ids: list[int]):
     """n_a, n_b, n_groups, n_links, groups_sha256 and the distinct link pairs with their
     numbers, for one text and its two encodings."""
-    if not text:
+    if not text or len(a_ids) == 0 or len(b_ids) == 0:
         return EMPTY
     whole = (" " + text).encode()
-    a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+    a, b = np.asarray(a_ids, np.int64), np.asarray(b_ids, np.int64)
+    a_list = a.tolist()
     a_ends, b_ends = np.cumsum(tok.a_len[a]), np.cumsum(tok.b_len[b])
-    if (len(a) == 0 or len(b) == 0 or a_ends[-1] != len(whole) or b_ends[-1] != len(whole)
-            or b"".join([tok.a_bytes[i] for i in a_ids]) != whole
-            or b"".join([tok.b_bytes[i] for i in b_ids]) != whole):
+    if (a_ends[-1] != len(whole) or b_ends[-1] != len(whole)
+            or b"".join(picked(tok.a_bytes, a_list)) != whole or b"".join(picked(tok.b_bytes, b_ids)) != whole):
         return EMPTY
     a_at = dict(zip(a_ends.tolist(), range(len(a))))
     b_at = dict(zip(b_ends.tolist(), range(len(b))))
     common = sorted(a_at.keys() & b_at.keys())
-    parts, i, j = [], 0, 0
-    for end in common:
-        i2, j2 = a_at[end] + 1, b_at[end] + 1
-        parts.append(",".join(map(str, a_ids[i:i2])) + "|" + ",".join(map(str, b_ids[j:j2])))
-        i, j = i2, j2
+    # The last token of each group on either side, and the group of every token.
+    last_a, last_b = np.array(picked(a_at, common)), np.array(picked(b_at, common))
+    place_a, place_b = np.arange(len(a)), np.arange(len(b))
+    group_a, group_b = np.searchsorted(last_a, place_a), np.searchsorted(last_b, place_b)
+    sep_a = (place_a == last_a[group_a]).astype(np.int8)  # 1: "|" ends the A part of a group
+    sep_b = (place_b == last_b[group_b]).astype(np.int8) * 3 + 2  # 5: ";" ends a group
+    sep_b[-1] = 4
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable").tolist()
+    pieces: list[str | None] = [None] * (2 * len(order))
+    pieces[0::2] = picked([*picked(tok.a_text, a_list), *picked(tok.b_text, b_ids)], order)
+    pieces[1::2] = picked(SEPARATORS, np.concatenate([sep_a, sep_b])[order].tolist())
     # Links: every piece between consecutive ends of either side lies in one A and one B token.
-    cuts = np.union1d(a_ends, b_ends)
+    cuts = np.sort(np.concatenate([a_ends, b_ends]))  # both rise strictly: shared ends twice
+    cuts = cuts[np.concatenate([[True], cuts[1:] != cuts[:-1]])]
     in_a = np.searchsorted(a_ends, cuts, side="left")
     in_b = np.searchsorted(b_ends, cuts, side="left")
-    keys = a[in_a] * B_RANGE + b[in_b]
-    pairs, times = np.unique(keys, return_counts=True)
-    digest = hashlib.sha256(";".join(parts).encode()).hexdigest()
+    keys = np.sort(a[in_a] * B_RANGE + b[in_b])
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    pairs, times = keys[starts], np.diff(np.append(starts, len(keys)))
+    digest = hashlib.sha256("".join(pieces).encode()).hexdigest()
     return len(a), len(b), len(common), len(cuts), digest, pairs, times.astype(np.int64)
 
 
