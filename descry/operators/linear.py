@@ -197,7 +197,15 @@ def lasso_on_gram(a: np.ndarray, b: np.ndarray, penalty: np.ndarray, start=None,
 
 
 def fit_gram(m: Matrix, alpha: float = 0.0, l1: float = 0.0) -> LinearModel:
-    """Least squares (defaults), ridge (``alpha``) or lasso (``l1``) in one pass."""
+    """Least squares (defaults), ridge (``alpha``) or lasso (``l1``) in one pass.
+
+    Beyond the columns whose Gram matrix a task may hold, least squares and ridge go to
+    conjugate gradients over passes (``solver.fit_cg``); lasso is refused there.
+    """
+    if not l1 and (len(m.names) + 2) ** 2 * 8 > STATE:
+        from descry.operators.solver import fit_cg
+
+        return fit_cg(m, alpha)
     w, b = solve_gram(collect_grams(train_matrix(m))[0, 0], range(len(m.names)), alpha, l1)
     return LinearModel(m.names, tuple(map(float, w)), b)
 
