@@ -70,8 +70,11 @@ class Tokenizers:
                 self.a_bytes[i] = token.encode()
         self.b_bytes = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
         self.a_len = np.array([len(v) for v in self.a_bytes], dtype=np.int64)
-        self.a_text = [str(i) for i in range(len(self.a_bytes))]
-        self.b_text = [str(i) for i in range(len(self.b_bytes))]
+        # an id's decimal text with what follows it: inside a side, ending A's part of a group,
+        # ending a group, ending the document
+        self.a_text = [f"{i}," for i in range(len(self.a_bytes))] + [f"{i}|" for i in range(len(self.a_bytes))]
+        self.b_text = ([f"{i}," for i in range(len(self.b_bytes))] + [f"{i};" for i in range(len(self.b_bytes))]
+                       + [f"{i}" for i in range(len(self.b_bytes))])
         self.b_len = np.array([len(v) for v in self.b_bytes], dtype=np.int64)
 
     def piece_bytes(self, i: int) -> bytes:
@@ -95,7 +98,6 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 
 EMPTY = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-SEPARATORS = (",", "|", ",", "", "", ";")  # by code: A inside, A last, B inside, B very last, -, B last
 
 
 def picked(values, keys) -> tuple:
@@ -110,10 +112,10 @@ def align(tok: Tokenizers, text: str | None, a_ids: np.ndarray, b_ids: list[int]
         return EMPTY
     whole = (" " + text).encode()
     a, b = np.asarray(a_ids, np.int64), np.asarray(b_ids, np.int64)
-    a_list = a.tolist()
     a_ends, b_ends = np.cumsum(tok.a_len[a]), np.cumsum(tok.b_len[b])
-    if (a_ends[-1] != len(whole) or b_ends[-1] != len(whole)
-            or b"".join(picked(tok.a_bytes, a_list)) != whole or b"".join(picked(tok.b_bytes, b_ids)) != whole):
+    # A is byte level without a normaliser, so its bytes are the text's whenever their number is;
+    # B's normaliser may change a text (U+2581 in it reads back as a space), so B's are compared.
+    if a_ends[-1] != len(whole) or b_ends[-1] != len(whole) or b"".join(picked(tok.b_bytes, b_ids)) != whole:
         return EMPTY
     a_at = dict(zip(a_ends.tolist(), range(len(a))))
     b_at = dict(zip(b_ends.tolist(), range(len(b))))
@@ -122,13 +124,11 @@ def align(tok: Tokenizers, text: str | None, a_ids: np.ndarray, b_ids: list[int]
     last_a, last_b = np.array(picked(a_at, common)), np.array(picked(b_at, common))
     place_a, place_b = np.arange(len(a)), np.arange(len(b))
     group_a, group_b = np.searchsorted(last_a, place_a), np.searchsorted(last_b, place_b)
-    sep_a = (place_a == last_a[group_a]).astype(np.int8)  # 1: "|" ends the A part of a group
-    sep_b = (place_b == last_b[group_b]).astype(np.int8) * 3 + 2  # 5: ";" ends a group
-    sep_b[-1] = 4
+    text_a = a + (place_a == last_a[group_a]) * len(tok.a_bytes)
+    text_b = b + (place_b == last_b[group_b]) * len(tok.b_bytes)
+    text_b[-1] = b[-1] + 2 * len(tok.b_bytes)
     order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable").tolist()
-    pieces: list[str | None] = [None] * (2 * len(order))
-    pieces[0::2] = picked([*picked(tok.a_text, a_list), *picked(tok.b_text, b_ids)], order)
-    pieces[1::2] = picked(SEPARATORS, np.concatenate([sep_a, sep_b])[order].tolist())
+    pieces = picked([*picked(tok.a_text, text_a.tolist()), *picked(tok.b_text, text_b.tolist())], order)
     # Links: every piece between consecutive ends of either side lies in one A and one B token.
     cuts = np.sort(np.concatenate([a_ends, b_ends]))  # both rise strictly: shared ends twice
     cuts = cuts[np.concatenate([[True], cuts[1:] != cuts[:-1]])]
