@@ -196,8 +196,75 @@ def lasso_on_gram(a: np.ndarray, b: np.ndarray, penalty: np.ndarray, start=None,
     return v
 
 
+SOLVED = ("repeat int, fold int, alpha double, coef array<double>, intercept double, sse double, "
+          "n double, sst double, missing array<int>")
+
+
+def fold_table(m: Matrix, repeats: int = 0, n_splits: int = 0) -> DataFrame:
+    """(repeat, fold, sums, rest): the moments of each fold's train rows and of the rows a
+    model for that fold learns from (its repeat's total less the fold), added up by the
+    cluster; without folds one row whose ``rest`` is all train rows."""
+    parts, tasks, _ = _gram_partials(train_matrix(m), repeats, n_splits)
+    per_fold = add_up(parts, ["repeat", "fold"], tasks)
+    if not repeats:
+        return per_fold.withColumn("rest", F.col("sums"))
+    totals = add_up(per_fold.select("repeat", "sums"), ["repeat"], n_splits).withColumnRenamed("sums", "total")
+    less = F.zip_with("total", "sums", lambda t, g: t - g)
+    return per_fold.join(totals, "repeat").select("repeat", "fold", "sums", less.alias("rest"))
+
+
+def solved_folds(m: Matrix, repeats: int = 0, n_splits: int = 0, alphas: Sequence[float] = (0.0,),
+                 l1: float = 0.0) -> DataFrame:
+    """One row per fold and penalty, solved in the task that holds the fold's moments:
+    coefficients, intercept, the fold's sum of squared errors, rows and total sum of squares,
+    and the positions of features with missing or infinite values (which spoil every sum)."""
+    width = len(m.names)
+    cols = range(width)
+    side = width + 2
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in range(len(batch)):
+                g = batch.column(2)[k].values.to_numpy(zero_copy_only=False).reshape(side, side)
+                rest = batch.column(3)[k].values.to_numpy(zero_copy_only=False).reshape(side, side)
+                bad = np.flatnonzero(~np.isfinite(np.diag(rest)[1:])).astype(np.int32)
+                key = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                for alpha in alphas:
+                    if len(bad):
+                        rows.append((*key, float(alpha), np.zeros(width), 0.0, 0.0, 0.0, 0.0, bad))
+                        continue
+                    w, b = solve_gram(rest, cols, alpha, l1)
+                    n = g[0, 0]
+                    sst = g[-1, -1] - g[0, -1] ** 2 / n if n else 0.0
+                    rows.append((*key, float(alpha), w, b, fold_error(g, cols, w, b), n, sst, bad))
+            if rows:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                    *[pa.array([r[i] for r in rows], pa.float64()) for i in (2,)],
+                    pa.array([np.asarray(r[3], dtype=float) for r in rows], pa.list_(pa.float64())),
+                    *[pa.array([float(r[i]) for r in rows], pa.float64()) for i in (4, 5, 6, 7)],
+                    pa.array([r[8] for r in rows], pa.list_(pa.int32()))],
+                    names=["repeat", "fold", "alpha", "coef", "intercept", "sse", "n", "sst", "missing"])
+
+    return fold_table(m, repeats, n_splits).mapInArrow(run, SOLVED)
+
+
+def fold_models(m: Matrix, repeats: int = 0, n_splits: int = 0, alpha: float = 0.0, l1: float = 0.0
+                ) -> dict[tuple[int, int], LinearModel]:
+    """Models per (repeat, fold), solved in tasks; only their coefficients reach the driver."""
+    found = solved_folds(m, repeats, n_splits, (alpha,), l1).select(
+        "repeat", "fold", "coef", "intercept", "missing").collect()
+    if not found:
+        raise ValueError("no rows to fit")
+    bad = sorted({i for r in found for i in r["missing"]})
+    require_whole([*m.names, TARGET], [i in bad for i in range(len(m.names) + 1)])
+    return {(r["repeat"], r["fold"]): LinearModel(m.names, tuple(r["coef"]), r["intercept"]) for r in found}
+
+
 def fit_gram(m: Matrix, alpha: float = 0.0, l1: float = 0.0) -> LinearModel:
-    """Least squares (defaults), ridge (``alpha``) or lasso (``l1``) in one pass.
+    """Least squares (defaults), ridge (``alpha``) or lasso (``l1``) in one pass; the system
+    is solved in the task that adds up the moments.
 
     Beyond the columns whose Gram matrix a task may hold, least squares and ridge go to
     conjugate gradients over passes (``solver.fit_cg``); lasso is refused there.
@@ -206,8 +273,7 @@ def fit_gram(m: Matrix, alpha: float = 0.0, l1: float = 0.0) -> LinearModel:
         from descry.operators.solver import fit_cg
 
         return fit_cg(m, alpha)
-    w, b = solve_gram(collect_grams(train_matrix(m))[0, 0], range(len(m.names)), alpha, l1)
-    return LinearModel(m.names, tuple(map(float, w)), b)
+    return fold_models(m, alpha=alpha, l1=l1)[0, 0]
 
 
 def fold_solutions(fold_grams: dict[tuple[int, int], np.ndarray], cols: Sequence[int],
@@ -230,18 +296,12 @@ def fold_error(g: np.ndarray, cols: Sequence[int], w: np.ndarray, b: float) -> f
 def ridge_grid(m: Matrix, repeats: int, n_splits: int,
                alphas: Sequence[float] = (1.0, 2.0, 5.0, 10.0, 200.0)) -> DataFrame:
     """(alpha, rmse, r2): means over folds for each ridge penalty, all from one pass."""
-    width = len(m.names)
-    found = collect_grams(train_matrix(m), repeats, n_splits)
-    rows = []
-    for alpha in alphas:
-        rmse, r2 = [], []
-        for key, (w, b) in fold_solutions(found, range(width), alpha).items():
-            g = found[key]
-            sse, n = fold_error(g, range(width), w, b), g[0, 0]
-            rmse.append(np.sqrt(sse / n))
-            r2.append(1 - sse / (g[-1, -1] - g[0, -1] ** 2 / n))
-        rows.append((float(alpha), float(np.mean(rmse)), float(np.mean(r2))))
-    return m.df.sparkSession.createDataFrame(rows, "alpha double, rmse double, r2 double")
+    solved = solved_folds(m, repeats, n_splits, alphas)
+    check = solved.select(F.explode("missing").alias("i")).distinct().collect()
+    require_whole([*m.names, TARGET], [i in {r["i"] for r in check} for i in range(len(m.names) + 1)])
+    return (solved.groupBy("alpha")
+            .agg(F.avg(F.sqrt(F.col("sse") / F.col("n"))).alias("rmse"), F.avg(1 - F.col("sse") / F.col("sst")).alias("r2"))
+            .orderBy("alpha"))
 
 
 def best_ridge(m: Matrix, repeats: int, n_splits: int,

@@ -6,8 +6,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from descry.operators.linear import (Fit, LinearModel, Loss, collect_grams, fit_gram, fit_reweighted,
-                                     fold_solutions, train_matrix)
+from descry.operators.linear import (Fit, LinearModel, Loss, fit_gram, fit_reweighted, fold_models,
+                                     train_matrix)
 from descry.operators.blocks import Matrix
 from descry.operators.moments import correlation_edges
 from descry.operators.profile import feature_names, select_k
@@ -52,9 +52,7 @@ class LeastSquares:
         return fit_gram(m, self.alpha, self.l1)
 
     def fit_folds(self, m, repeats, n_splits):
-        found = collect_grams(train_matrix(m), repeats, n_splits)
-        solved = fold_solutions(found, range(len(m.names)), self.alpha, self.l1)
-        return {k: LinearModel(m.names, tuple(map(float, w)), b) for k, (w, b) in solved.items()}
+        return fold_models(m, repeats, n_splits, self.alpha, self.l1)
 
 
 def linear_svr_estimator(c: float = 1.0) -> Reweighted:
