@@ -69,6 +69,7 @@ class Tokenizers:
             except KeyError:  # an added token: its own text
                 self.a_bytes[i] = token.encode()
         self.b_bytes = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
+        self.b_lossless = self.lossless()
         self.a_len = np.array([len(v) for v in self.a_bytes], dtype=np.int64)
         # an id's decimal text with what follows it: inside a side, ending A's part of a group,
         # ending a group, ending the document
@@ -77,6 +78,20 @@ class Tokenizers:
                        + [f"{i}" for i in range(len(self.b_bytes))])
         self.b_len = np.array([len(v) for v in self.b_bytes], dtype=np.int64)
 
+    def lossless(self) -> bool:
+        """Whether B leaves a text as it is but for spaces (identity normaliser, extra white
+        space kept, byte fallback): then a text without U+2581 reads back whole exactly when
+        its byte count does. False where the model cannot be read."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2 as pb
+        except ImportError:
+            return False
+        model = pb.ModelProto()
+        model.ParseFromString(self.b.serialized_model_proto())
+        spec = model.normalizer_spec
+        return (spec.name == "identity" and not spec.remove_extra_whitespaces
+                and not spec.precompiled_charsmap and model.trainer_spec.byte_fallback)
+
     def piece_bytes(self, i: int) -> bytes:
         if self.b.is_control(i) or self.b.is_unknown(i):
             return b""
@@ -114,8 +129,10 @@ def align(tok: Tokenizers, text: str | None, a_ids: np.ndarray, b_ids: list[int]
     a, b = np.asarray(a_ids, np.int64), np.asarray(b_ids, np.int64)
     a_ends, b_ends = np.cumsum(tok.a_len[a]), np.cumsum(tok.b_len[b])
     # A is byte level without a normaliser, so its bytes are the text's whenever their number is;
-    # B's normaliser may change a text (U+2581 in it reads back as a space), so B's are compared.
-    if a_ends[-1] != len(whole) or b_ends[-1] != len(whole) or b"".join(picked(tok.b_bytes, b_ids)) != whole:
+    # so are B's for a lossless model and a text without U+2581 (which reads back as a space).
+    if a_ends[-1] != len(whole) or b_ends[-1] != len(whole):
+        return EMPTY
+    if (not tok.b_lossless or "\u2581" in text) and b"".join(picked(tok.b_bytes, b_ids)) != whole:
         return EMPTY
     a_at = dict(zip(a_ends.tolist(), range(len(a))))
     b_at = dict(zip(b_ends.tolist(), range(len(b))))

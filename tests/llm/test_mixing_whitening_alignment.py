@@ -179,7 +179,8 @@ def test_alignment_against_brute_force(spark):
     rows = [(r.doc_id, r.text, None, None) for r in docs.collect()]
     rows += [(1, None, "s", "x"), (2, "", "s", "x"), (3, "a <|endoftext|> b </s> <s> <unk>", "s", "x"),
              (3, "a <|endoftext|> b </s> <s> <unk>", "s", "x"), (None, "tab\there  two  spaces", None, None),
-             (4, "日本語 テキスト émigré", None, None), (5, "word " * 3000, None, None)]
+             (4, "日本語 テキスト émigré", None, None), (5, "word " * 3000, None, None),
+             (6, "a \u2581 b reads back as a space", None, None)]
     out = alignment.alignment(spark.createDataFrame(rows, DOCS))
     got = [(r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256, r.n_best, r.count_sum)
            for r in out.collect()]
