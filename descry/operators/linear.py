@@ -109,11 +109,23 @@ def _gram_partials(m: Matrix, repeats: int, n_splits: int) -> tuple[DataFrame, i
                     continue
                 z = np.column_stack(
                     [np.ones(len(batch)), dense(batch, width), values_of(batch, TARGET)])
-                folds = _fold_matrix(batch) if repeats else None
-                for r, f in chunk:
-                    part = z if folds is None else z[folds[:, r] == f]
-                    gram = part.T @ part
-                    total[r, f] = total[r, f] + gram if (r, f) in total else gram
+                if not repeats:
+                    gram = z.T @ z
+                    total[0, 0] = total[0, 0] + gram if (0, 0) in total else gram
+                    continue
+                folds = _fold_matrix(batch)
+                for r in sorted({r for r, _ in chunk}):
+                    # rows in fold order once per repeat: one Gram per run, whatever the folds
+                    order = np.argsort(folds[:, r], kind="stable")
+                    held = folds[order, r]
+                    wanted = np.array(sorted(f for q, f in chunk if q == r))
+                    starts = np.searchsorted(held, wanted, side="left")
+                    ends = np.searchsorted(held, wanted, side="right")
+                    for f, a, b in zip(wanted.tolist(), starts.tolist(), ends.tolist()):
+                        if b > a:
+                            part = z[order[a:b]]
+                            gram = part.T @ part
+                            total[r, f] = total[r, f] + gram if (r, f) in total else gram
             if total:
                 yield sums_batch({"repeat": [k[0] for k in total], "fold": [k[1] for k in total]},
                                  list(total.values()))
@@ -536,7 +548,7 @@ def predict_folds(m: Matrix, models: dict[tuple[int, int], LinearModel], repeats
                   n_splits: int) -> DataFrame:
     """(id, repeat, fold, actual, prediction): every row by the models that held it out.
 
-    One matrix product per batch against columns x (repeats x splits) weights.
+    Each row is multiplied by the weights of its own folds only, so many splits cost no more.
     """
     position = {n: i for i, n in enumerate(m.names)}
     w = np.zeros((len(m.names) + 1, repeats * n_splits))
@@ -550,10 +562,11 @@ def predict_folds(m: Matrix, models: dict[tuple[int, int], LinearModel], repeats
             n = len(batch)
             if not n:
                 continue
-            all_preds = dense(batch, w.shape[0] - 1) @ w[1:] + w[0]
+            x = dense(batch, w.shape[0] - 1)
             folds = _fold_matrix(batch)[:, :repeats]
             which = folds + np.arange(repeats) * n_splits
-            preds = np.take_along_axis(all_preds, which, axis=1)
+            # each row meets only the weights of the models that held it out
+            preds = np.einsum("ij,jik->ik", x, w[1:, which]) + w[0, which]
             ids = batch.column(batch.schema.get_field_index(ID))
             rows = pa.array(np.repeat(np.arange(n), repeats))
             yield pa.RecordBatch.from_pydict({

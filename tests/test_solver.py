@@ -1,6 +1,7 @@
 """Least squares beyond the Gram limit: conjugate gradients over distributed passes."""
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from descry import FEATURES, ID, TARGET
@@ -55,3 +56,38 @@ def test_small_fit_equals_gram_path(spark):
         plain, cg = linear.fit_gram(m, alpha=alpha), solver.fit_cg(m, alpha=alpha)
         assert np.allclose(plain.coef, cg.coef, atol=1e-8) and abs(plain.intercept - cg.intercept) < 1e-8
         assert cg.coef[4] == 0.0
+
+
+def test_a_thousand_splits_cost_at_most_twice_three(spark):
+    import time
+
+    from descry.operators import folds
+    from descry.operators.blocks import matrix
+    from descry.plans.models import LeastSquares
+
+    rng = np.random.default_rng(9)
+    n = 3000
+    x = rng.normal(size=(n, 6))
+    y = x @ rng.normal(size=6) + rng.normal(size=n)
+    df = spark.createDataFrame([(i, float(y[i]), *map(float, x[i])) for i in range(n)],
+                               "id long, y double, " + ", ".join(f"c{j} double" for j in range(6))).cache()
+    names = [f"c{j}" for j in range(6)]
+    cost, fitted = {}, {}
+    for k in (3, 1000):
+        found = folds.stratified_folds(df, 0.0, k, 2).cache()
+        m = Matrix(folds.with_folds(matrix(df, names).df, found), tuple(names))
+        start = time.time()
+        models = LeastSquares(alpha=2.0).fit_folds(m, 2, k)
+        preds = linear.predict_folds(m, models, 2, k).collect()
+        cost[k] = time.time() - start
+        fitted[k] = (found, models, preds)
+    assert cost[1000] <= 2 * cost[3] + 2.0, cost
+    found, models, preds = fitted[1000]
+    fold_of = {(r["id"], r["repeat"]): r["fold"] for r in found.collect()}
+    for key in [(0, 0), (1, 517), (1, 999)]:
+        rows = [i for i in range(n) if fold_of[i, key[0]] != key[1]]
+        z = np.column_stack([np.ones(len(rows)), x[rows]])
+        want = np.linalg.solve(z.T @ z + np.diag([0.0] + [2.0] * 6), z.T @ y[rows])
+        got = models[key]
+        assert [got.intercept, *got.coef] == pytest.approx(want, abs=1e-8)
+    assert len(preds) == 2 * n
