@@ -58,7 +58,7 @@ class Tokenizers:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.chunks = encoder(a_path, True)
+        self.chunks = encoder(a_path, True, special_as_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte_of = {letter: i for i, letter in enumerate(LETTERS)}
         vocab = self.a.get_vocab()

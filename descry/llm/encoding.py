@@ -67,10 +67,17 @@ def packed(ids: list[int]) -> bytes:
 class Encoder(dict):
     """Chunk to its ids as little-endian unsigned 32-bit integers, in two generations."""
 
-    def __init__(self, path: str, byte_level: bool, known: int = CHUNKS):
+    def __init__(self, path: str, byte_level: bool, known: int = CHUNKS, special_as_text: bool = False):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # By default, as the plain call does, the strings of added tokens in a raw text are those
+        # tokens: they are cut out first and the pieces between are encoded alone, where such a
+        # string (made by lower-casing, say) is text. ``special_as_text`` reads them all as text.
+        self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = None if special_as_text or not added else (
+            re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))),
+            {k: packed([v]) for k, v in added.items()})
         self.split = BYTE_LEVEL.findall if byte_level else word_chunks
         self.lowers, self.known, self.older = not byte_level, known, {}
 
@@ -100,14 +107,28 @@ class Encoder(dict):
         return value
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text))) if text else b""
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str, byte_level: bool) -> Encoder:
+        if not text:
+            return b""
+        if self.added is None or not self.added[0].search(text):
+            return b"".join(map(self.__getitem__, self.split(text)))
+        found, token = self.added
+        out, start = [], 0
+        for m in found.finditer(text):
+            piece = text[start:m.start()]
+            if piece:
+                out.append(b"".join(map(self.__getitem__, self.split(piece))))
+            out.append(token[m.group()])
+            start = m.end()
+        if start < len(text):
+            out.append(b"".join(map(self.__getitem__, self.split(text[start:]))))
+        return b"".join(out)
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, byte_level: bool, special_as_text: bool = False) -> Encoder:
     """The encoder of this process; later tasks of the same worker find its chunks again."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path, byte_level)
+    return Encoder(path, byte_level, special_as_text=special_as_text)
 
 
 def end_mark(token: int) -> bytes:

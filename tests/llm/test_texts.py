@@ -36,16 +36,21 @@ def odd(spark):
 def test_chunks_encode_like_the_whole_text(name, byte_level):
     rng = random.Random(3)
     parts = ["a", "Foo", "é", "é", "ß", "'s", "don't", " ", "  ", "\n", "\t", " ", "\x1c", ".", ",", "42",
-             "Σ", "İ", "ñ", "##", "%%%", "😀", "<|endoftext|>", "word", "×", "|", "-"]
+             "Σ", "İ", "ñ", "##", "%%%", "😀", "<|endoftext|>", "word", "×", "|", "-",
+             "<|startoftext|>", "<|ENDOFTEXT|>", "<|"]
     known = Encoder(tokenizer_path(name), byte_level, known=50)
+    as_text = Encoder(tokenizer_path(name), byte_level, known=50, special_as_text=True)
+    plain = Tokenizer.from_file(tokenizer_path(name))  # untouched: the contract's plain call
+    literal = Tokenizer.from_file(tokenizer_path(name))
+    literal.encode_special_tokens = True
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
-        assert known.ids(text) == packed(known.tokenizer.encode(text, add_special_tokens=False).ids), text
+        assert known.ids(text) == packed(plain.encode(text, add_special_tokens=False).ids), text
+        assert as_text.ids(text) == packed(literal.encode(text, add_special_tokens=False).ids), text
 
 
 def whole_ids(name, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
