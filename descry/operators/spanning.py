@@ -1,12 +1,15 @@
 """Minimum spanning trees over all row pairs (G5, G6), without writing the pairs.
 
 An edge that is not in the tree of some part of the graph is not in the tree of the whole.
-So each pair of row blocks keeps only its own tree, and Boruvka rounds join what is left.
+So each pair of row blocks keeps only its own tree, grown from the trees of its parts, and
+Boruvka rounds join what is left.
 Edges are ordered by (weight, src, dst), which makes the tree unique.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,10 +17,10 @@ from pyspark.sql import functions as F
 
 from descry import FEATURES, ID, TARGET
 from descry.operators.blocks import Matrix
-from descry.operators.similarity import _column, _features, block_grid, measure_matrix
+from descry.operators.similarity import (ROWS_PER_BLOCK, Block, _column, block_pairs, hashed_blocks,
+                                         measure_matrix, steps)
 from descry.session import cut_lineage
 
-ROWS_PER_BLOCK = 1024
 SMALL = 500_000  # edges that one task may finish
 ZERO = 1e-9  # rounding of a weight that is zero: no edge
 
@@ -56,17 +59,19 @@ def block_trees(m: Matrix, measure: str, most: str, rows_per_block: int = ROWS_P
     width = len(m.names)
     rows = m.df.filter(F.col(TARGET).isNotNull()) if measure != "cosine" else m.df
     rows = rows.select(ID, F.coalesce(TARGET, F.lit(0.0)).alias(TARGET), FEATURES)
-    grid = block_grid(rows, rows.count(), rows_per_block)
+    blocks = hashed_blocks(rows, rows.count(), rows_per_block, width, [TARGET])
     id_type = rows.schema[ID].dataType.simpleString()
 
-    def prune(table: pa.Table) -> pa.Table:
-        order = np.argsort(_column(table, ID), kind="stable")
-        ids = _column(table, ID)[order]
-        x, y = _features(table, width)[order], _column(table, TARGET)[order]
-        is_i = _column(table, "is_i")[order]
-        same = table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
-        index = np.arange(len(ids))
-        i, j = (index, index) if same else (np.nonzero(is_i)[0], np.nonzero(~is_i)[0])
+    def part_tree(a: Block, b: Block, s: slice, t: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        same = a.block == b.block and s == t
+        ids, x, y = a.ids[s], a.x[s], a.more[0][s]
+        i = j = np.arange(len(ids))
+        if not same:
+            ids = np.concatenate([ids, b.ids[t]])
+            order = np.argsort(ids, kind="stable")
+            is_i, ids = order < len(x), ids[order]
+            x, y = np.concatenate([x, b.x[t]])[order], np.concatenate([y, b.more[0][t]])[order]
+            i, j = np.nonzero(is_i)[0], np.nonzero(~is_i)[0]
         sims = measure_matrix(measure, x, y, i, j)
         part = 100.0 * ((1 - sims) if most == "similar" else sims)
         part = np.where(np.isnan(part) | (np.abs(part) < ZERO), np.inf, part)
@@ -76,13 +81,46 @@ def block_trees(m: Matrix, measure: str, most: str, rows_per_block: int = ROWS_P
             upper = np.triu(full, 1)  # one value per pair, so both halves agree exactly
             full = np.where(np.tri(len(ids), dtype=bool), np.inf, upper)
         full = np.minimum(full, full.T)
-        edges = _tree(full)
-        s = np.array([e[0] for e in edges], dtype=int)
-        d = np.array([e[1] for e in edges], dtype=int)
-        return pa.table({"src": ids[s], "dst": ids[d], "weight": full[s, d].astype(float)})
+        edges = np.array(_tree(full), dtype=int).reshape(-1, 2)
+        return ids[edges[:, 0]], ids[edges[:, 1]], full[edges[:, 0], edges[:, 1]]
+
+    def prune(a: Block, b: Block) -> Iterable[dict[str, np.ndarray]]:
+        trees, held = [], 0
+        for s, t in steps(a, b):
+            trees.append(part_tree(a, b, s, t))
+            held += len(trees[-1][0])
+            if held > 8 * (len(a.ids) + len(b.ids)):
+                trees = [_joined(trees)]
+                held = len(trees[0][0])
+        src, dst, weight = _joined(trees) if len(trees) > 1 else trees[0]
+        yield {"src": src, "dst": dst, "weight": weight}
+
+    return block_pairs(blocks, width, prune, f"src {id_type}, dst {id_type}, weight double")
+
+
+def _kruskal(a: np.ndarray, b: np.ndarray, w: np.ndarray, s: np.ndarray, d: np.ndarray) -> list[int]:
+    """Positions of the forest's edges between a and b, ordered by (w, s, d)."""
+    leader: dict = {}
+
+    def find(v):
+        while leader.setdefault(v, v) != v:
+            leader[v] = v = leader[leader[v]]
+        return v
+
+    keep = []
+    for e in np.lexsort((d, s, w)).tolist():
+        p, q = find(a[e]), find(b[e])
+        if p != q:
+            leader[p] = q
+            keep.append(e)
+    return keep
+
 
-    return grid.groupBy("bi", "bj").applyInArrow(
-        prune, f"src {id_type}, dst {id_type}, weight double")
+def _joined(trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The forest of the edges of several."""
+    s, d, w = (np.concatenate(c) for c in zip(*trees, strict=True))
+    keep = _kruskal(s.tolist(), d.tolist(), w, s, d)
+    return s[keep], d[keep], w[keep]
 
 
 def _finish(left: DataFrame) -> DataFrame:
@@ -90,19 +128,7 @@ def _finish(left: DataFrame) -> DataFrame:
 
     def kruskal(table: pa.Table) -> pa.Table:
         a, b, w, s, d = (_column(table, c) for c in ("cs", "cd", "weight", "src", "dst"))
-        leader: dict = {}
-
-        def find(v):
-            while leader.setdefault(v, v) != v:
-                leader[v] = v = leader[leader[v]]
-            return v
-
-        keep = []
-        for e in np.lexsort((d, s, w)):
-            p, q = find(a[e]), find(b[e])
-            if p != q:
-                leader[p] = q
-                keep.append(int(e))
+        keep = _kruskal(a.tolist(), b.tolist(), w, s, d)
         return pa.table({"src": s[keep], "dst": d[keep], "weight": w[keep]})
 
     kind = left.schema["src"].dataType.simpleString()

@@ -184,3 +184,32 @@ def test_tree_rows_are_the_ends(spark):
     tree = spark.createDataFrame([(0, 3, 1.0)], "src long, dst long, weight double")
     got = spanning.tree_rows(df, tree, 2)
     assert got.columns == ["id", "a"] and {r["id"] for r in got.collect()} == {0, 3}
+
+
+@pytest.fixture(scope="module")
+def long_block(spark):
+    """More rows than are compared at once, in one block or in two."""
+    rng = np.random.default_rng(8)
+    x, y = np.abs(rng.normal(size=(1100, 4))), rng.integers(1, 9, 1100).astype(float)
+    return x, y, Matrix(spark.createDataFrame(rows_of(x, y), SCHEMA), NAMES)
+
+
+@pytest.mark.parametrize("size", [4096, 600])
+def test_pairs_and_sums_of_long_blocks(long_block, size):
+    x, y, m = long_block
+    c, _, _, overall = measures(x, y)
+    got = {r["id"]: r["degree"] for r in similarity.anomaly_degree(m, rows_per_block=size).collect()}
+    assert got == dict(enumerate((overall <= 0.5).sum(axis=1)))
+    pairs = similarity.cosine_pairs(m, 0.99, with_target=True, rows_per_block=size).collect()
+    assert {(r["src"], r["dst"]) for r in pairs} == {tuple(p) for p in np.argwhere(np.triu(c >= 0.99, 1))}
+    assert all((r["y_src"], r["y_dst"]) == (y[r["src"]], y[r["dst"]]) for r in pairs)
+
+
+def test_rows_meet_without_a_shuffle_for_each_block(skewed):
+    _, _, m = skewed
+    plan = similarity.cosine_pairs(m, 0.5, rows_per_block=5)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    blocks = similarity.hashed_blocks(m.df, 150, 1, 4, ["y"])
+    got = [i for r in blocks.collect() for i in r["ids"]]
+    assert sorted(got) == list(range(150))  # every row once, however many blocks it meets
+    assert blocks.count() <= similarity.MOST_BLOCKS
