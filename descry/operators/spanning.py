@@ -136,6 +136,12 @@ def _finish(left: DataFrame) -> DataFrame:
     return together.applyInArrow(kruskal, f"src {kind}, dst {kind}, weight double")
 
 
+def _spread(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by shuffle. A stored table keeps the size that was guessed for its plan; for edges
+    of block pairs that is about the size of the rows, and a broadcast would pass through the driver."""
+    return a.hint("merge").join(b.hint("merge"), on, how)
+
+
 def _hook(best: DataFrame) -> DataFrame:
     """(comp, root) from each component's cheapest neighbour.
 
@@ -143,12 +149,12 @@ def _hook(best: DataFrame) -> DataFrame:
     root. Pointers are then doubled until they all point at roots.
     """
     back = best.select(F.col("comp").alias("other"), F.col("other").alias("of_other"))
-    parents = best.join(back, "other", "left").select(
+    parents = _spread(best, back, "other", "left").select(
         "comp", F.when((F.col("of_other") == F.col("comp")) & (F.col("comp") < F.col("other")),
                        F.col("comp")).otherwise(F.col("other")).alias("root"))
     while True:
         up = parents.select(F.col("comp").alias("root"), F.col("root").alias("up"))
-        jumped = cut_lineage(parents.join(up, "root", "left").select(
+        jumped = cut_lineage(_spread(parents, up, "root", "left").select(
             "comp", F.coalesce("up", "root").alias("new"), "root"))
         moved = jumped.filter("new <> root").limit(1).count()
         parents = jumped.select("comp", F.col("new").alias("root"))
@@ -176,7 +182,7 @@ def forest(edges: DataFrame, small: int = SMALL) -> DataFrame:
         a = roots.select(F.col("comp").alias("cs"), F.col("root").alias("rs"))
         b = roots.select(F.col("comp").alias("cd"), F.col("root").alias("rd"))
         # after joining components, keep the cheapest edge between each two of them
-        merged = left.join(a, "cs").join(b, "cd").filter("rs <> rd")
+        merged = _spread(_spread(left, a, "cs"), b, "cd").filter("rs <> rd")
         left = cut_lineage(merged.groupBy(F.least("rs", "rd").alias("cs"),
                                           F.greatest("rs", "rd").alias("cd")).agg(
             F.min(F.struct("weight", "src", "dst")).alias("e")
@@ -200,4 +206,4 @@ def spanning_tree(m: Matrix, measure: str = "cosine", most: str = "similar",
 def tree_rows(df: DataFrame, tree: DataFrame, columns: int = 8) -> DataFrame:
     """Rows at the ends of tree edges, with their first columns."""
     ends = tree.select(F.col("src").alias(ID)).unionByName(tree.select(F.col("dst").alias(ID)))
-    return df.select(*df.columns[:columns]).join(ends.distinct(), ID, "left_semi")
+    return _spread(df.select(*df.columns[:columns]), ends.distinct(), ID, "left_semi")

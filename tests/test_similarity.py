@@ -213,3 +213,19 @@ def test_rows_meet_without_a_shuffle_for_each_block(skewed):
     got = [i for r in blocks.collect() for i in r["ids"]]
     assert sorted(got) == list(range(150))  # every row once, however many blocks it meets
     assert blocks.count() <= similarity.MOST_BLOCKS
+
+
+def test_a_block_keeps_one_tree(long_block):
+    x, y, m = long_block
+    overall = measures(x, y)[3]
+    edges = spanning.block_trees(m, "overall", "similar").collect()
+    w = 100 * (1 - overall)
+    upper = np.argwhere(np.triu(w, 1) > spanning.ZERO)
+    want = kruskal(1100, [(w[i, j], int(i), int(j)) for i, j in upper])
+    assert {(r["src"], r["dst"]) for r in edges} == want and len(edges) == 1099
+
+
+def test_forest_joins_do_not_broadcast(spark):
+    edges = spark.createDataFrame([(0, 1)], "cs long, cd long")
+    plan = spanning._spread(edges, edges.toDF("cs", "rs"), "cs")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
