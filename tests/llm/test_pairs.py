@@ -269,3 +269,34 @@ def test_shards_split_repeated_ids_and_write(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_sql(spark, name):
     assert difference(spark_table(QUERIES[name](spark, SF)), sql_table(connect(SF), ORACLES[name])) is None
+
+
+def test_near_copies_meet_where_their_representative_resembles_neither(spark):
+    """All that share a key and are similar enough around it end in one class."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for group in range(30):
+        base = [f"w{group}x{i}" for i in range(64)]
+        for edits in [1, 1, 2, 2, 2, 3, 3, 3]:
+            words = list(base)
+            for at in rng.choice(64, edits, replace=False):
+                words[at] = f"e{len(rows)}x{at}"
+            rows.append((len(rows), " ".join(words)))
+    known = substrings.WordHashes()
+    ids = [substrings.shingle_ids(substrings.words_of(t), known, 5) for _, t in rows]
+    keys = []
+    for one in ids:
+        key, at, reach = substrings.window_keys(one, 46)
+        keys.append({(k, a): (a - r // substrings.EXTENT % substrings.EXTENT, a + r % substrings.EXTENT)
+                     for k, a, r in zip(key.tolist(), at.tolist(), reach.tolist())})
+    want = set()
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        for k in keys[i].keys() & keys[j].keys():
+            lo, hi = max(keys[i][k][0], keys[j][k][0]), min(keys[i][k][1], keys[j][k][1])
+            if substrings.segments(ids[i][lo:hi + 1], ids[j][lo:hi + 1], 46, 0.8):
+                want.add((i, j))
+    got = substrings.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes = {r["doc_id"]: r["class_id"] for r in got}
+    assert len(want) > 30
+    lost = [p for p in want if p[0] not in classes or classes[p[0]] != classes.get(p[1])]
+    assert not lost
