@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -300,3 +301,81 @@ def test_near_copies_meet_where_their_representative_resembles_neither(spark):
     assert len(want) > 30
     lost = [p for p in want if p[0] not in classes or classes[p[0]] != classes.get(p[1])]
     assert not lost
+
+
+def test_members_that_share_too_little_never_become_rows(spark, monkeypatch):
+    """Unlike texts with one common line meet under its keys in blocks, not as pairs of rows."""
+    rng = random.Random(5)
+    pool = lambda n: words(rng, n, 90_000)
+    line, near = pool(38), pool(60)
+    rows = [(i, " ".join(pool(40) + line + pool(40))) for i in range(160)]
+    rows += [(i, " ".join(near[:at] + [f"edit{i}"] + near[at + 1:])) for i, at in ((160, 30), (161, 30))]
+    made, plain = {}, substrings.stored
+
+    def counted(df, name, *more):
+        out = plain(df, name, *more)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "stored", counted)
+    got = substrings.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(160, 160), (161, 160)}
+    assert made["members"] > len(rows)
+    assert made["crossed"] + made.get("apart", 0) <= len(rows)
+
+
+def test_members_meet_across_blocks(spark, monkeypatch):
+    """Blocks of three members give the classes that one block gives."""
+    rng = random.Random(6)
+    base = words(rng, 64, 90_000)
+    rows = []
+    for i in range(40):
+        own = list(base)
+        for at in rng.sample(range(64), rng.choice([1, 2, 3])):
+            own[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = lambda: {(r["doc_id"], r["class_id"]) for r in substrings.duplicate_passages(docs).collect()}
+    whole = classes()
+    monkeypatch.setattr(substrings, "BLOCK", 3)
+    assert whole and classes() == whole
+
+
+@pytest.mark.parametrize("pool", [12, 10 ** 9])
+def test_no_pair_that_can_pass_is_left_out(pool):
+    rng = np.random.default_rng(pool % 97)
+    for _ in range(60):
+        base = rng.integers(0, pool, 60).astype(np.int32)
+        rows = []
+        for _ in range(int(rng.integers(2, 12))):
+            own = base.copy()
+            for at in rng.integers(0, 60, int(rng.integers(0, 5))):
+                own[at:at + 5] = rng.integers(0, pool, len(own[at:at + 5]))
+            rows.append(own[:60 - int(rng.integers(0, 10))])
+        label = rng.integers(0, 4, len(rows))
+        for left in (None, 1):
+            got = set(zip(*[v.tolist() for v in substrings.alike(rows, label, left, 20, 0.8)], strict=True))
+            assert all(label[i] != label[j] and (left is None or i < left <= j) for i, j in got)
+            for i, j in itertools.combinations(range(len(rows)), 2):
+                n = min(len(rows[i]), len(rows[j]))
+                if label[i] != label[j] and (left is None or i < left <= j):
+                    assert (i, j) in got or not substrings.segments(rows[i][:n], rows[j][:n], 20, 0.8)
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    from descry.llm.common import stored
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {f for f in (found.apply(i).getName() for i in range(found.size())) if "shuffle_" in f}
+
+    before, told = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    out = stored(spark.range(20_000).repartition(7, "id").selectExpr("id % 100 k").groupBy("k").count(), "cleaned")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == told
