@@ -155,8 +155,8 @@ def bounds(k: int):
                     ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())),
                     ("lengths", pa.list_(pa.float64())), ("payload", pa.binary()))],
                  pa.array([theta.tolist()], pa.list_(pa.float64())),
-                 pa.array([float(theta.min())], pa.float64())],
-                names=["dim", "block", "longest", "ids", "rows", "lengths", "payload", "theta", "least"])
+                 pa.array([float(theta.min())], pa.float64()), pa.array([p["c_lanes"].as_py()], pa.int32())],
+                names=["dim", "block", "longest", "ids", "rows", "lengths", "payload", "theta", "least", "c_lanes"])
 
     return run
 
@@ -189,6 +189,19 @@ def searched(k: int):
     return run
 
 
+def _lane(block: str, lanes: str) -> Column:
+    return F.pmod(F.xxhash64(block), F.col(lanes)).cast("int")
+
+
+def _lanes(lanes: str) -> Column:
+    return F.sequence(F.lit(0), F.col(lanes) - 1)
+
+
+def in_lanes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Blocks of one dimension and lane together, by shuffle: none passes through the driver."""
+    return a.hint("merge").join(b.hint("merge"), ["dim", "lane"])
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = K, block: int = BLOCK,
           query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for every row that ``queries``
@@ -203,13 +216,20 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, block: int = BLOCK,
     q = packed(rows.filter(queries), query_block)
     other = c.select("dim", *[F.col(n).alias(f"c_{n}") for n in
                               ("block", "longest", "ids", "rows", "lengths", "payload")])
-    seed = c.groupBy("dim").agg(F.max_by("block", F.struct("longest", -F.col("block"))).alias("c_block"))
-    first = q.join(seed, "dim").join(other, ["dim", "c_block"])
-    asked = stored(first.mapInArrow(bounds(k), PACKED + ", theta array<double>, least double"), "asked")
+    # Rows of these tables hold whole blocks, and their files say little of their size in memory. So only the
+    # table of dimensions is broadcast; lanes, no more than there are blocks to deal, bring blocks together.
+    seed = c.groupBy("dim").agg(F.max_by("block", F.struct("longest", -F.col("block"))).alias("c_block"),
+                                F.least(F.count(F.lit(1)), F.lit(LANES)).cast("int").alias("c_lanes"))
+    dims = F.broadcast(stored(seed.join(F.broadcast(q.groupBy("dim").agg(
+        F.least(F.count(F.lit(1)), F.lit(LANES)).cast("int").alias("lanes"))), "dim"), "dims"))
+    first = in_lanes(q.join(dims.drop("c_block"), "dim").withColumn("lane", _lane("block", "lanes")).drop("lanes"),
+                     other.join(dims.drop("c_lanes"), ["dim", "c_block"]).withColumn("lane", F.explode(_lanes("lanes")))
+                     .drop("lanes"))
+    asked = stored(first.mapInArrow(bounds(k), f"{PACKED}, theta array<double>, least double, c_lanes int"), "asked")
     # A stated set of queries against all rows, in blocks: lanes deal the block pairs to tasks.
-    lanes = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
-    met = lanes.join(other.withColumn("lane", F.pmod(F.xxhash64("c_block"), F.lit(LANES)).cast("int")),
-                     ["dim", "lane"]).filter(F.col("longest") * F.col("c_longest") * (1 + 1e-9) >= F.col("least"))
+    met = in_lanes(asked.withColumn("lane", F.explode(_lanes("c_lanes"))).drop("c_lanes"),
+                   other.join(dims.select("dim", "c_lanes"), "dim").withColumn("lane", _lane("c_block", "c_lanes"))
+                   .drop("c_lanes")).filter(F.col("longest") * F.col("c_longest") * (1 + 1e-9) >= F.col("least"))
     found = met.drop("lane").mapInArrow(
         searched(k), "query_row long, query_id long, vec_id long, row long, score long")
     order = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id", "row")

@@ -244,6 +244,32 @@ def test_top_k_with_ties_copies_and_invalid_vectors(spark):
     assert topk.top_k(vectors.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def broadcast_parts(df):
+    """The text of every plan part that is sent to all tasks through the driver."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:below])
+
+
+def test_top_k_blocks_do_not_pass_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=n).tolist()) for n in (6, 3) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made, plain = [], topk.stored
+
+    def noted(df, name, *more):
+        made.append(df)
+        return plain(df, name, *more)
+
+    monkeypatch.setattr(topk, "stored", noted)
+    got = topk.top_k(vectors, F.col("id") % 50 == 0, block=16, query_block=2)
+    parts = [p for df in [*made, got] for p in broadcast_parts(df)]
+    assert got.count() == 40 and not [p for p in parts if "payload" in p]
+
+
 @pytest.mark.parametrize("limit", [20_000, 3_000])
 def test_shards_match_sql_at_small_limits(spark, limit):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
