@@ -229,3 +229,46 @@ def test_forest_joins_do_not_broadcast(spark):
     edges = spark.createDataFrame([(0, 1)], "cs long, cd long")
     plan = spanning._spread(edges, edges.toDF("cs", "rs"), "cs")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.fixture(scope="module")
+def copied(spark):
+    """Vectors that several ids have, one of them a zero row, one id twice, rows without id, target or vector."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 4))
+    x[::4] = x[0]
+    x[39] = 0.0
+    y = rng.integers(1, 6, 40).astype(float)
+    odd = [rows_of(x, y)[1], (50, None, [1.0] * 4), (None, 2.0, [1.0] * 4), (51, 2.0, None)]
+    return x, y, Matrix(spark.createDataFrame(rows_of(x, y) + odd, SCHEMA).repartition(5), NAMES)
+
+
+@pytest.mark.parametrize("options", [{}, {"rows_per_block": 7, "pivots": 5}])
+def test_every_copy_is_in_pairs(copied, options):
+    x, _, m = copied
+    x = np.vstack([x, np.zeros((10, 4)), np.ones((1, 4))])  # 50 has no target, which cosines do not need
+    with np.errstate(invalid="ignore"):
+        c = cosines(x)
+        want = {(i, j) for i in range(51) for j in range(i + 1, 51) if c[i, j] >= 0.3}
+    assert (0, 4) in want and (4, 8) in want
+    got = similarity.cosine_pairs(m, 0.3, rows=similarity.every_row(m), **options).collect()
+    assert {(r["src"], r["dst"]) for r in got} == want and len(got) == len(want)
+    copies = {**dict.fromkeys(range(0, 40, 4), 10), 1: 2, 50: 2}
+    assert all((r["n_src"], r["n_dst"]) == (copies.get(r["src"], 1), copies.get(r["dst"], 1)) for r in got)
+
+
+@pytest.mark.parametrize("name", ["cosine_pairs"])
+def test_pairs_of_copies_match_sql(spark, tmp_path, name):
+    from oracle import connect, difference, spark_table, sql_table
+
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(2)
+    x = np.float32(rng.normal(size=(30, 64)) + 0.2)
+    x[::3] = x[0]
+    rows = [(i, v.tolist(), i % 4) for i, v in enumerate(x)] + [(1, x[1].tolist(), 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").toPandas().to_parquet(
+        tmp_path / "embeddings.parquet")
+    got = spark_table(entry.queries()[name](spark, str(tmp_path)))
+    assert difference(got, sql_table(connect(str(tmp_path)), entry.oracle_sql()[name])) is None
+    assert len(got[1]) >= 45
