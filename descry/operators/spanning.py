@@ -198,9 +198,10 @@ def spanning_tree(m: Matrix, measure: str = "cosine", most: str = "similar",
                   rows_per_block: int = ROWS_PER_BLOCK, small: int = SMALL) -> DataFrame:
     """(src, dst, weight, whole): the tree by one measure; weight is 100(1 - s) for the most
     similar rows, 100 s for the most different, ``whole`` its integer part. A zero weight is
-    no edge, so copies are joined through others."""
+    no edge, so copies are joined through others. An overall weight is a quotient by cosine + ratio,
+    which may be nearly zero: its integer part does not fit 32 bits, but always 64."""
     return forest(block_trees(m, measure, most, rows_per_block), small).select(
-        "src", "dst", "weight", F.col("weight").cast("int").alias("whole"))
+        "src", "dst", "weight", F.col("weight").cast("bigint").alias("whole"))
 
 
 def tree_rows(df: DataFrame, tree: DataFrame, columns: int = 8) -> DataFrame:

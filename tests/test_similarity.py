@@ -290,3 +290,12 @@ def test_pairs_of_copies_match_sql(spark, tmp_path, name):
     got = spark_table(entry.queries()[name](spark, str(tmp_path)))
     assert difference(got, sql_table(connect(str(tmp_path)), entry.oracle_sql()[name])) is None
     assert len(got[1]) >= 45 and (name == "cosine_pairs" or len(got[1]) == 30 * 29 // 2)
+
+
+def test_weights_that_do_not_fit_an_int(spark):
+    """The cosine of two rows is nearly minus their ratio, so the overall weight is huge."""
+    x = np.array([[1.0, 0, 0, 0], [-0.5 - 1e-11, np.sqrt(0.75), 0, 0], [0, 0, 1.0, 0]])
+    m = Matrix(spark.createDataFrame(rows_of(x, [1.0, 3.0, 2.0]), SCHEMA), NAMES)
+    got = {(r["src"], r["dst"]): r for r in spanning.spanning_tree(m, "overall", "similar").collect()}
+    assert len(got) == 2 and got[0, 1]["weight"] < -2.0 ** 31
+    assert all(r["whole"] == int(r["weight"]) for r in got.values())
