@@ -17,36 +17,64 @@ from pyspark.sql import functions as F
 
 from descry import FEATURES, ID, TARGET
 from descry.operators.blocks import Matrix
-from descry.operators.similarity import (ROWS_PER_BLOCK, Block, _column, block_pairs, hashed_blocks,
-                                         measure_matrix, steps)
+from descry.operators.similarity import (Block, _column, block_pairs, hashed_blocks, measure_matrix,
+                                         several, steps)
 from descry.session import cut_lineage
 
+ROWS_PER_BLOCK = 8192  # a pair of blocks hands on as many edges as it has rows, so few large ones
 SMALL = 500_000  # edges that one task may finish
 ZERO = 1e-9  # rounding of a weight that is zero: no edge
 
 
-def _tree(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of a dense symmetric matrix (inf: no edge), rows in id order; Prim."""
-    n = len(weights)
-    inside = np.zeros(n, dtype=bool)
-    w, s, d = np.full(n, np.inf), np.full(n, n), np.full(n, n)
-    edges = []
-    index = np.arange(n)
-    for _ in range(n):
-        open_w = np.where(inside, np.inf, w)
-        low = open_w.min()
-        if np.isinf(low):
-            v = int(np.argmin(inside))  # nothing in reach: start the next component
-        else:
-            tied = np.nonzero(open_w == low)[0]
-            v = int(tied[np.lexsort((d[tied], s[tied]))[0]])
-            edges.append((int(s[v]), int(d[v])))
-        inside[v] = True
-        row, a, b = weights[v], np.minimum(index, v), np.maximum(index, v)
-        better = ~inside & ((row < w) | ((row == w) & np.isfinite(row)
-                                         & ((a < s) | ((a == s) & (b < d)))))
-        w, s, d = np.where(better, row, w), np.where(better, a, s), np.where(better, b, d)
-    return edges
+def _merged(comp: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Components after each of ``one`` takes its cheapest edge to ``other``. With a strict edge
+    order the choices only cycle in pairs; the smaller of a pair is the root."""
+    parent = np.arange(len(comp))
+    parent[one] = other
+    pair = one[(parent[other] == one) & (one < other)]
+    parent[pair] = pair
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return parent[comp]
+        parent = up
+
+
+def _tree(weights: np.ndarray, place: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the spanning forest's edges between the rows and the columns of a dense
+    matrix (inf: no edge), or between the rows alone if they are the ``same`` as the columns; Boruvka.
+
+    ``place`` is the order of ids, of rows and then of columns, each ascending. So of equal weights
+    the first in a row or column is the least edge. A row is looked through again only when the
+    partner that was its nearest has come into its own component.
+    """
+    p, n = len(weights), len(place)
+    sides = [(np.arange(p), weights, 0)]
+    if not same:
+        sides = [(np.arange(p), weights, p), (np.arange(p, n), np.ascontiguousarray(weights.T), 0)]
+    comp, near, gap = np.arange(n), np.zeros(n, int), np.zeros(n)
+    stale = np.ones(n, bool)
+    kept = []
+    while stale.any():
+        for own, matrix, offset in sides:
+            some = np.flatnonzero(stale[own])
+            cells = matrix[some]
+            if kept:
+                cells[comp[own[some]][:, None] == comp[offset:offset + matrix.shape[1]]] = np.inf
+            at = cells.argmin(axis=1)
+            near[own[some]], gap[own[some]] = at + offset, cells[np.arange(len(some)), at]
+        able = np.flatnonzero(gap < np.inf)
+        if not len(able):
+            break
+        low, high = np.minimum(place[able], place[near[able]]), np.maximum(place[able], place[near[able]])
+        able = able[np.lexsort((high, low, gap[able]))]
+        one, first = np.unique(comp[able], return_index=True)
+        mine, theirs = able[first], near[able[first]]
+        kept.append(np.column_stack([np.minimum(mine, theirs), np.maximum(mine, theirs)]))
+        comp = _merged(comp, one, comp[theirs])
+        stale = (gap < np.inf) & (comp[near] == comp)
+    edges = np.unique(np.concatenate(kept), axis=0) if kept else np.empty((0, 2), int)
+    return edges[:, 0], edges[:, 1] - (0 if same else p)
 
 
 def block_trees(m: Matrix, measure: str, most: str, rows_per_block: int = ROWS_PER_BLOCK
@@ -59,30 +87,30 @@ def block_trees(m: Matrix, measure: str, most: str, rows_per_block: int = ROWS_P
     width = len(m.names)
     rows = m.df.filter(F.col(TARGET).isNotNull()) if measure != "cosine" else m.df
     rows = rows.select(ID, F.coalesce(TARGET, F.lit(0.0)).alias(TARGET), FEATURES)
-    blocks = hashed_blocks(rows, rows.count(), rows_per_block, width, [TARGET])
+    n = rows.count()
+    blocks = hashed_blocks(rows, n, rows_per_block, width, [TARGET])
     id_type = rows.schema[ID].dataType.simpleString()
 
     def part_tree(a: Block, b: Block, s: slice, t: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         same = a.block == b.block and s == t
-        ids, x, y = a.ids[s], a.x[s], a.more[0][s]
-        i = j = np.arange(len(ids))
-        if not same:
-            ids = np.concatenate([ids, b.ids[t]])
-            order = np.argsort(ids, kind="stable")
-            is_i, ids = order < len(x), ids[order]
-            x, y = np.concatenate([x, b.x[t]])[order], np.concatenate([y, b.more[0][t]])[order]
-            i, j = np.nonzero(is_i)[0], np.nonzero(~is_i)[0]
-        sims = measure_matrix(measure, x, y, i, j)
+        ids, others = a.ids[s], b.ids[t]
+        x, y = np.concatenate([a.x[s], b.x[t]]), np.concatenate([a.more[0][s], b.more[0][t]])
+        i = np.arange(len(ids))
+        sims = measure_matrix(measure, x, y, i, np.arange(len(i), len(y)))
         part = 100.0 * ((1 - sims) if most == "similar" else sims)
-        part = np.where(np.isnan(part) | (np.abs(part) < ZERO), np.inf, part)
-        full = np.full((len(ids), len(ids)), np.inf)
-        full[np.ix_(i, j)] = part
-        if same:
-            upper = np.triu(full, 1)  # one value per pair, so both halves agree exactly
-            full = np.where(np.tri(len(ids), dtype=bool), np.inf, upper)
-        full = np.minimum(full, full.T)
-        edges = np.array(_tree(full), dtype=int).reshape(-1, 2)
-        return ids[edges[:, 0]], ids[edges[:, 1]], full[edges[:, 0], edges[:, 1]]
+        part[np.isnan(part) | (np.abs(part) < ZERO)] = np.inf
+        place = i
+        if same:  # one value per pair, so both halves agree exactly
+            part[np.tri(len(ids), dtype=bool)] = np.inf
+            part = np.minimum(part, part.T)
+        else:
+            place = np.empty(len(y), int)
+            place[np.argsort(np.concatenate([ids, others]), kind="stable")] = np.arange(len(y))
+        p, q = _tree(part, place, same)
+        p, q = p[ids[p] != others[q]], q[ids[p] != others[q]]  # a row repeated with its id is one node
+        one, two = ids[p], others[q]
+        turned = one > two
+        return np.where(turned, two, one), np.where(turned, one, two), part[p, q]
 
     def prune(a: Block, b: Block) -> Iterable[dict[str, np.ndarray]]:
         trees, held = [], 0
@@ -95,45 +123,48 @@ def block_trees(m: Matrix, measure: str, most: str, rows_per_block: int = ROWS_P
         src, dst, weight = _joined(trees) if len(trees) > 1 else trees[0]
         yield {"src": src, "dst": dst, "weight": weight}
 
-    return block_pairs(blocks, width, prune, f"src {id_type}, dst {id_type}, weight double")
-
+    return block_pairs(blocks, width, prune, f"src {id_type}, dst {id_type}, weight double", several(n, rows_per_block))
 
-def _kruskal(a: np.ndarray, b: np.ndarray, w: np.ndarray, s: np.ndarray, d: np.ndarray) -> list[int]:
-    """Positions of the forest's edges between a and b, ordered by (w, s, d)."""
-    leader: dict = {}
 
-    def find(v):
-        while leader.setdefault(v, v) != v:
-            leader[v] = v = leader[leader[v]]
-        return v
-
-    keep = []
-    for e in np.lexsort((d, s, w)).tolist():
-        p, q = find(a[e]), find(b[e])
-        if p != q:
-            leader[p] = q
-            keep.append(e)
-    return keep
+def _forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, s: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Positions of the forest's edges between a and b, ordered by (w, s, d); Boruvka."""
+    order = np.lexsort((d, s, w))
+    ends, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = number[:len(a)][order], number[len(a):][order]
+    comp, live, kept = np.arange(len(ends)), np.arange(len(order)), []
+    while True:
+        live = live[comp[u[live]] != comp[v[live]]]
+        if not len(live):
+            return order[np.sort(np.concatenate(kept))] if kept else order[:0]
+        best = np.full(len(ends), len(order))
+        for end in (u, v):
+            least = np.full(len(ends), len(order))
+            least[comp[end[live[::-1]]]] = live[::-1]  # of repeated places the last, the least edge, stays
+            best = np.minimum(best, least)
+        one = np.flatnonzero(best < len(order))
+        edge = best[one]
+        kept.append(np.unique(edge))
+        comp = _merged(comp, one, comp[u[edge]] + comp[v[edge]] - one)
 
 
 def _joined(trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The forest of the edges of several."""
     s, d, w = (np.concatenate(c) for c in zip(*trees, strict=True))
-    keep = _kruskal(s.tolist(), d.tolist(), w, s, d)
+    keep = _forest(s, d, w, s, d)
     return s[keep], d[keep], w[keep]
 
 
 def _finish(left: DataFrame) -> DataFrame:
-    """Kruskal over a bounded list of edges between components (cs, cd) in one task."""
+    """The forest of a bounded list of edges between components (cs, cd) in one task."""
 
-    def kruskal(table: pa.Table) -> pa.Table:
+    def whole(table: pa.Table) -> pa.Table:
         a, b, w, s, d = (_column(table, c) for c in ("cs", "cd", "weight", "src", "dst"))
-        keep = _kruskal(a.tolist(), b.tolist(), w, s, d)
+        keep = _forest(a, b, w, s, d)
         return pa.table({"src": s[keep], "dst": d[keep], "weight": w[keep]})
 
     kind = left.schema["src"].dataType.simpleString()
     together = left.withColumn("all", F.lit(0)).groupBy("all")
-    return together.applyInArrow(kruskal, f"src {kind}, dst {kind}, weight double")
+    return together.applyInArrow(whole, f"src {kind}, dst {kind}, weight double")
 
 
 def _spread(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:

@@ -299,3 +299,26 @@ def test_weights_that_do_not_fit_an_int(spark):
     got = {(r["src"], r["dst"]): r for r in spanning.spanning_tree(m, "overall", "similar").collect()}
     assert len(got) == 2 and got[0, 1]["weight"] < -2.0 ** 31
     assert all(r["whole"] == int(r["weight"]) for r in got.values())
+
+
+def test_dense_trees_match_kruskal():
+    rng = np.random.default_rng(4)
+    for n in range(200):
+        p, q = (int(v) for v in rng.integers(1, 14, 2))
+        same, ids = n % 2 == 0, rng.permutation(60)
+        w = rng.integers(-2, 3, (p, p if same else q)).astype(float)  # many ties
+        w[rng.random(w.shape) < 0.3] = np.inf
+        row, column = np.sort(ids[:p]), np.sort(ids[p:p + q])
+        place = np.argsort(np.argsort(np.concatenate([row, column])))
+        if same:
+            column, place = row, np.arange(p)
+            w[np.tri(p, dtype=bool)] = np.inf
+            w = np.minimum(w, w.T)
+        edges = [(w[i, j], *sorted((int(row[i]), int(column[j])))) for i, j in np.argwhere(np.isfinite(w))
+                 if not same or i < j]
+        want = kruskal(60, edges)
+        i, j = spanning._tree(w, place, same)
+        assert len(i) == len(want) and {tuple(sorted((int(row[a]), int(column[b])))) for a, b in zip(i, j)} == want
+        s, d, weight = (np.array([e[k] for e in edges]) for k in (1, 2, 0))
+        keep = spanning._forest(s, d, weight, s, d) if edges else []
+        assert {(int(s[e]), int(d[e])) for e in keep} == want
