@@ -350,6 +350,38 @@ def test_members_that_share_too_little_never_become_rows(spark, monkeypatch):
     assert made["crossed"] + made.get("apart", 0) <= len(rows)
 
 
+def test_near_copies_of_one_class_are_listed_too(spark):
+    """Two texts that share an exact passage share a near copy as well, whose representative resembles neither."""
+    rng = np.random.default_rng(23)
+    pool = random.Random(2)
+    rows = []
+    for group in range(24):
+        base = [f"w{group}x{i}" for i in range(64)]
+        shared = words(pool, 60, 10 ** 9)
+        for edits in [1, 1, 2, 2, 2, 3, 3, 3]:
+            near = list(base)
+            for at in rng.choice(64, edits, replace=False):
+                near[at] = f"e{len(rows)}x{at}"
+            rows.append((len(rows), " ".join(shared + words(pool, 60, 10 ** 9) + near)))
+    known = substrings.WordHashes()
+    ids = [substrings.shingle_ids(substrings.words_of(t), known, 5) for _, t in rows]
+    keys = []
+    for one in ids:
+        key, at, reach = substrings.window_keys(one, 46)
+        keys.append({(k, a): (a - r // substrings.EXTENT % substrings.EXTENT, a + r % substrings.EXTENT)
+                     for k, a, r in zip(key.tolist(), at.tolist(), reach.tolist()) if a > 120})
+    want = set()
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        for k in keys[i].keys() & keys[j].keys():
+            lo, hi = max(keys[i][k][0], keys[j][k][0], 120), min(keys[i][k][1], keys[j][k][1])
+            if substrings.segments(ids[i][lo:hi + 1], ids[j][lo:hi + 1], 46, 0.8):
+                want |= {i, j}
+    got = substrings.duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i // 8 * 8 for i in range(len(rows))}
+    near = {r["doc_id"] for r in got if r["last_word"] >= 160}
+    assert len(want) > 30 and want <= near
+
+
 def test_members_meet_across_blocks(spark, monkeypatch):
     """Blocks of three members give the classes that one block gives."""
     rng = random.Random(6)
